@@ -131,8 +131,11 @@ def base_counts(w: Words, hasher: Hasher, h: np.ndarray) -> dict[str, np.ndarray
     return out
 
 
-def hashed_counts(w: Words, h: np.ndarray, n_word: int, n_char: int) -> np.ndarray:
-    """A row per text: square roots of the shares of word 1- and 2-grams in ``n_word`` bins, and of byte 3-grams in ``n_char``."""
+def hashed_counts(w: Words, h: np.ndarray, n_word: int, n_char: int, floor: float = 1) -> np.ndarray:
+    """A row per text: square roots of the shares of word 1- and 2-grams in ``n_word`` bins, and of byte 3-grams in ``n_char``.
+
+    Shares are of at least ``floor`` grams, which holds short texts near zero.
+    """
     n = w.n_docs
     two, at = windows(w, h, 2)
     bins = np.concatenate([w.doc * n_word + (h % _U(n_word)).astype(np.int64), w.doc[at] * n_word + (two % _U(n_word)).astype(np.int64)])
@@ -156,6 +159,6 @@ def hashed_counts(w: Words, h: np.ndarray, n_word: int, n_char: int) -> np.ndarr
     else:
         char = np.zeros((n, n_char), np.float32)
     for x in (word, char):
-        x /= np.maximum(x.sum(1, keepdims=True), 1)
+        x /= np.maximum(x.sum(1, keepdims=True), floor)
         np.sqrt(x, out=x)
     return np.concatenate([word, char], 1)

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeframe.llm._common import id_and_text
+
 #: Code points with the Unicode property White_Space, which ``\s`` of the rank files means.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pieces that the pattern never crosses: a word with one space before it; the
@@ -245,6 +247,27 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 d.append(sha(own.decode_text(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    from codeframe.llm._common import id_and_text
-
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def token_rows(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """What a trainer reads: doc_id, n_tokens, ids array<int>, and decoded_sha256 of the ids decoded again.
+
+    Null text counts as empty; repeated rows give repeated rows; other columns are ignored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sha = codec(ranks_path, pattern), hashlib.sha256
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                flat, offs, digest = [np.zeros(0, np.int32)], [0], []
+                for t in part.column(1):
+                    ids = own.encode_text(t.as_py() or "")
+                    flat.append(np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32))
+                    offs.append(offs[-1] + len(flat[-1]))
+                    digest.append(sha(own.decode_text(ids)).hexdigest())
+                ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs), pa.int64()), ids, pa.array(digest, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -23,6 +23,10 @@ from codeframe.llm._words import Hasher, Words, base_counts, hashed_counts
 from codeframe.llm.quality_rules import features, sample_rows, sigmoid
 
 WORD_BINS, CHAR_BINS = 256, 512
+#: Shares of n-grams are of at least so many, so that a few words alone decide nothing.
+GRAM_FLOOR = 200
+#: n-gram shares are scaled by this and not by their spread: rare grams stay small.
+GRAM_SPREAD = 0.1
 #: Bounds of the two training samples, chosen by a hash of the id.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
 
@@ -68,7 +72,7 @@ def kernel(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         ],
         1,
     ).astype(np.float32)
-    return np.concatenate([shape, hashed_counts(w, h, WORD_BINS, CHAR_BINS)], 1)
+    return np.concatenate([shape, hashed_counts(w, h, WORD_BINS, CHAR_BINS, GRAM_FLOOR)], 1)
 
 
 def descend(grad, width: int, steps: int = 300, rate: float = 0.03) -> np.ndarray:
@@ -98,6 +102,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3) -> Model:
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 4.0, 1.0)
     both = np.concatenate([pos, unl]).astype(np.float64)
     mean, spread = both.mean(0), np.maximum(both.std(0), 1e-2)
+    spread[-(WORD_BINS + CHAR_BINS) :] = GRAM_SPREAD
     p, u = (pos - mean) / spread, (unl - mean) / spread
     width = p.shape[1] + 1
 
@@ -152,3 +157,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     out = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model predicts to be good, all columns as they were; nothing is shuffled.
+
+    Null text is judged as the empty text; repeated rows are judged each.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offs in slices(b.column(at)):
+                yield b.slice(i, j - i).filter(pa.array(model.score(kernel(data, offs)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

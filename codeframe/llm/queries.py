@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeframe.llm import byte_bpe, quality_pu, quality_rules, simhash, suffix_dedup, token_count
+import corpus_pipeline
+from codeframe.llm import ann, byte_bpe, html_extract, lm_score, mixing, quality_pu, quality_rules, simhash, suffix_dedup, token_count
 from codeframe.llm._common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -19,11 +20,23 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_pu.score(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
@@ -33,15 +46,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    found = [op1_token_counts, op2_suffix_dedup, op4_quality_rules, op7_quality_pu, op8_simhash, op10_byte_bpe]
-    return {f.__name__: f for f in found}
+    found = [
+        op1_token_counts, op2_suffix_dedup, op3_html_extraction, op4_quality_rules, op5_additive_ann, op6_mixing, op7_quality_pu, op8_simhash, op9_lm_score, op10_byte_bpe,
+    ]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """None of these can be put as SQL over whole tables in useful time; tests/llm has brute-force versions."""
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
