@@ -1,0 +1 @@
+"""Column expressions: text, names, paths, hashes, rules and similarities.  All stay inside Catalyst."""
