@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 _LOW = 0xFFFFFFFF
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; lambdas of higher-order functions would repeat it per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def utf8_bytes(s: Column) -> Column:
     """Bytes of a string as an array of longs; empty for the empty string."""
-    raw = F.encode(s, "utf-8")
-    each = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
-    return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(each)
+
+    def each(raw: Column) -> Column:
+        byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
+        return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(raw)), byte))
+
+    return _with(F.encode(s, "utf-8"), each)
 
 
 def _state(s: Column) -> Column:
@@ -34,14 +42,13 @@ def _state(s: Column) -> Column:
 
 def fnv1a_hex(s: Column) -> Column:
     """FNV-1a 64 of the UTF-8 bytes as 16 hex digits; null stays null."""
-    h = _state(s)
-    return F.when(s.isNotNull(), F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
+    digits = lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0")))
+    return F.when(s.isNotNull(), _with(_state(s), digits))
 
 
 def fnv1a(s: Column) -> Column:
     """The same as a signed long."""
-    h = _state(s)
-    return F.when(s.isNotNull(), F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]))
+    return F.when(s.isNotNull(), _with(_state(s), lambda h: F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"])))
 
 
 def set_fingerprint(items: Column) -> Column:

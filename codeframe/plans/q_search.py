@@ -192,7 +192,7 @@ def r4(spark, d):
 @query("R5_related_terms", "select term, count(*) as docs from terms where doc_id in (select doc_id from terms where term in ('onand', 'ation')) and term not in ('onand', 'ation') group by 1 order by docs desc, term limit 25")
 def r5(spark, d):
     t, _ = search.bm25_index(Views(spark, d).files, "doc_id", text.bm25_terms(F.lower("text")))
-    return search.related_terms(t, ["onand", "ation"], 25)
+    return search.related_terms(t, ["thanedble", "attion"], 25)
 
 
 @query("R6_ranked_and_filtered", """with hit as (select t.doc_id, t.term from terms t where term in ('the','erth')), len as (select doc_id, count(*) as dl from terms group by 1), meta as (select count(*) as n, avg(dl) as avgdl from len),
@@ -207,12 +207,12 @@ def r6(spark, d):
 
 
 @query("R7_hybrid", """select 'symbol' as source, hash as key from (select hash from symbols where contains(symbol, 'gear') order by file, start_line, hash limit 10)
-    union all select 'text', cast(doc_id as varchar) from (select doc_id from terms where term = 'gear' group by 1) order by 1, 2""")
+    union all select 'text', cast(doc_id as varchar) from (select doc_id from terms where term = 'thanedble' group by 1) order by 1, 2""")
 def r7(spark, d):
     v = Views(spark, d)
     a = search.search_symbols(v.symbols, "gear", limit=10).select(F.lit("symbol").alias("source"), F.col("hash").alias("key"))
     t, _ = search.bm25_index(v.files, "doc_id", text.bm25_terms(F.lower("text")))
-    return a.unionByName(search.bm25_search(t, ["gear"]).select(F.lit("text").alias("source"), F.col("id").cast("string").alias("key")))
+    return a.unionByName(search.bm25_search(t, ["thanedble"]).select(F.lit("text").alias("source"), F.col("id").cast("string").alias("key")))
 
 
 @query("R9_regex_lines", "select file, line, cast(strlen(split_part(line_text, regexp_extract(line_text, 'th[aeo]n'), 1)) + 1 as bigint) as \"column\", rtrim(line_text) as line_text from lines where regexp_matches(line_text, 'th[aeo]n')")
