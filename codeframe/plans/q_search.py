@@ -189,7 +189,7 @@ def r4(spark, d):
     return search.bm25_index(Views(spark, d).files, "doc_id", text.bm25_terms(F.lower("text")))[1].agg(F.count("*").alias("total_docs"), F.round(F.avg("doc_length"), 6).alias("avg_doc_length"))
 
 
-@query("R5_related_terms", "select term, count(*) as docs from terms where doc_id in (select doc_id from terms where term in ('onand', 'ation')) and term not in ('onand', 'ation') group by 1 order by docs desc, term limit 25")
+@query("R5_related_terms", "select term, count(*) as docs from terms where doc_id in (select doc_id from terms where term in ('thanedble', 'attion')) and term not in ('thanedble', 'attion') group by 1 order by docs desc, term limit 25")
 def r5(spark, d):
     t, _ = search.bm25_index(Views(spark, d).files, "doc_id", text.bm25_terms(F.lower("text")))
     return search.related_terms(t, ["thanedble", "attion"], 25)
