@@ -408,8 +408,8 @@ def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """doc_id, kt, packed text and the extra columns: what has to be shuffled, compressed."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kt", T.LongType()), T.StructField("packed", T.BinaryType()), *(docs.schema[c] for c in extra)])
+    """doc_id, kt, packed text and the extra columns as x0, x1, ...: what has to be shuffled, compressed."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kt", T.LongType()), T.StructField("packed", T.BinaryType()), *(T.StructField(f"x{i}", docs.schema[c].dataType) for i, c in enumerate(extra))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -513,7 +513,7 @@ def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes],
 def _joined(docs: DataFrame, extra: list[str], group_rows: int) -> DataFrame:
     spans = repeated_spans(docs, group_rows).groupBy("doc_id", "kt").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     packed = _packed(docs, extra)
-    return packed.join(spans, _same(packed, spans), "left").select(packed["doc_id"], "packed", "spans", *(packed[c] for c in extra))
+    return packed.join(spans, _same(packed, spans), "left").select(packed["doc_id"], "packed", "spans", *(packed[f"x{i}"] for i in range(len(extra))))
 
 
 def digest(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
