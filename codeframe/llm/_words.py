@@ -24,7 +24,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept, and grown when a longer text comes."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, _U)
+        have = np.full(max(n, 1 << 20), base, _U)
         have[0] = 1
         have = _powers[base] = np.multiply.accumulate(have)
     return have[:n]

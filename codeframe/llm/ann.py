@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import write_shared
+from codeframe.llm._common import tidy, write_shared
 
 BOOKS, WORDS, BEAM = 8, 256, 8
 #: Rows that the codebooks are fitted on, at most: the least by a hash of their id.
@@ -105,6 +105,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8,
 
 
 def _encode_rows(q: Quantiser, d: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), d)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeframe.llm._common import id_and_text
+from codeframe.llm._common import id_and_text, tidy
 
 #: Code points with the Unicode property White_Space, which ``\s`` of the rank files means.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,7 +38,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: rest of a white space run before a word; any other white space.
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Cached words per generation and worker; longer words than KEY_CHARS are never cached.
-CACHE_WORDS, KEY_CHARS, CACHE_PAIRS = 200_000, 64, 500_000
+CACHE_WORDS, KEY_CHARS, CACHE_PAIRS = 120_000, 64, 200_000
 
 
 class Codec:
@@ -69,7 +69,7 @@ class Codec:
         # the last merge of each token: (left, right), or (itself, itself)
         self.halves: list[tuple[int, int]] = [(r, r) for r in range(top)]
         self.joined: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         for r in range(top):
             tok, left = self.bytes_of[r], self.prefix[r]
             while left >= 0:
@@ -122,11 +122,11 @@ class Codec:
                     if last < 0:
                         ok = True
                     else:
-                        ok = fits.get((last, tok))
+                        ok = fits.get(last << 20 | tok)
                         if ok is None:
                             if len(fits) > CACHE_PAIRS:
                                 fits.clear()
-                            ok = fits[last, tok] = self._compatible(last, tok)
+                            ok = fits[last << 20 | tok] = self._compatible(last, tok)
                     if ok:
                         out.append(tok)
                         pos, tok = end, longest[end]
@@ -195,6 +195,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     rest = [c for c in df.columns if c != ids_col]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for b in batches:
@@ -219,6 +220,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", b
     rest = [c for c in df.columns if c != bytes_col]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(bytes_col, T.BinaryType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(ranks_path, pattern).bytes_of
         for b in batches:
@@ -236,6 +238,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ids stay null; repeated rows give repeated rows; other columns are ignored.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(ranks_path, pattern), hashlib.sha256
         for b in batches:
@@ -256,11 +259,12 @@ def token_rows(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Null text counts as empty; repeated rows give repeated rows; other columns are ignored.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = codec(ranks_path, pattern), hashlib.sha256
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
                 flat, offs, digest = [np.zeros(0, np.int32)], [0], []
                 for t in part.column(1):
                     ids = own.encode_text(t.as_py() or "")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeframe.llm._common import tidy
 from codeframe.llm.html_tree import SKIP, Page, blocks, features
 
 #: Pages are read and scored together up to so many characters of html.
@@ -103,6 +104,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     urls stay null, repeated rows are extracted each, other columns are ignored.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, cache = model(), {}
         for b in batches:

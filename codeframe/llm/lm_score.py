@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text, utf8, write_shared
+from codeframe.llm._common import id_and_text, tidy, utf8, write_shared
 
 #: Words of the shared vocabulary, with START and UNKNOWN; weight of the unigram in a bigram estimate.
 VOCABULARY, START, UNKNOWN, BACKOFF = 1024, 0, 1, 20.0
@@ -31,6 +31,7 @@ HELD_WORDS, WORD_CHARS = 200_000, 64
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
     """The ``size - 2`` commonest words of all documents; ties in the order of the words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
@@ -54,6 +55,7 @@ def word_ids(docs: DataFrame, words: list[str]) -> DataFrame:
     """(doc_id, ids): each text as 16-bit word numbers in one binary."""
     shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for b in batches:
@@ -82,6 +84,7 @@ def pair_counts(ids: DataFrame, good: DataFrame, size: int) -> DataFrame:
     """(code, background, target): how often each pair occurs in all texts and in the good ones."""
     marked = ids.join(good.withColumn("is_good", F.lit(True)), "doc_id", "left").select("ids", F.coalesce("is_good", F.lit(False)).alias("is_good"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size * size), np.int64)
         for b in batches:
@@ -124,6 +127,7 @@ def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFra
     model = np.stack([losses(code, got[c].to_numpy(), size) for c in ("target", "background")])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss = shared.value
         for b in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import held_out, id_and_text, slices
+from codeframe.llm._common import held_out, id_and_text, slices, tidy
 from codeframe.llm._words import Hasher, Words, base_counts, hashed_counts
 from codeframe.llm.quality_rules import features, sample_rows, sigmoid
 
@@ -100,15 +100,17 @@ def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3) -> Model:
     if not len(pos) or not len(unl):
         width = pos.shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 4.0, 1.0)
-    both = np.concatenate([pos, unl]).astype(np.float64)
-    mean, spread = both.mean(0), np.maximum(both.std(0), 1e-2)
+    n = len(pos) + len(unl)
+    mean = (pos.sum(0, dtype=np.float64) + unl.sum(0, dtype=np.float64)) / n
+    spread = np.maximum(np.sqrt((np.square(pos - mean.astype(np.float32)).sum(0, dtype=np.float64) + np.square(unl - mean.astype(np.float32)).sum(0, dtype=np.float64)) / n), 1e-2)
     spread[-(WORD_BINS + CHAR_BINS) :] = GRAM_SPREAD
-    p, u = (pos - mean) / spread, (unl - mean) / spread
+    p, u = (((x - mean.astype(np.float32)) / spread.astype(np.float32)) for x in (pos, unl))
     width = p.shape[1] + 1
 
     def first(w):
-        a, b = (sigmoid(p @ w[:-1] + w[-1]) - 1) / len(p), sigmoid(u @ w[:-1] + w[-1]) / len(u)
-        return np.append(p.T @ a + u.T @ b + 10 * l2 * w[:-1], a.sum() + b.sum())
+        v = w[:-1].astype(np.float32)
+        a, b = (sigmoid(p @ v + w[-1]) - 1) / len(p), sigmoid(u @ v + w[-1]) / len(u)
+        return np.append(a.astype(np.float32) @ p + b.astype(np.float32) @ u + 10 * l2 * w[:-1], a.sum() + b.sum())
 
     # the prior is read off rows that the first classifier was not fitted on
     odd_p, odd_u = np.arange(len(p)) % 2 == 1, np.arange(len(u)) % 2 == 1
@@ -119,7 +121,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3) -> Model:
     prior = estimate_prior(p[odd_p] @ w[:-1] + w[-1], u[odd_u] @ w[:-1] + w[-1]) if odd_p.any() and odd_u.any() else 0.5
 
     def risk(w):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        v = w[:-1].astype(np.float32)
+        zp, zu = (p @ v + w[-1]).astype(np.float64), (u @ v + w[-1]).astype(np.float64)
         soft = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         up = (sigmoid(zp) - 1) / len(p)  # derivative of the loss of a positive taken as positive
         neg_u, neg_p = sigmoid(zu) / len(u), sigmoid(zp) / len(p)
@@ -127,7 +130,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3) -> Model:
             gp, gu = prior * up - prior * neg_p, neg_u
         else:  # the estimated negative risk went below zero: only undo the overfit
             gp, gu = prior * neg_p, -neg_u
-        return np.append(p.T @ gp + u.T @ gu + l2 * w[:-1], gp.sum() + gu.sum())
+        return np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + l2 * w[:-1], gp.sum() + gu.sum())
 
     w = descend(risk, width)
     return Model(mean, spread, w[:-1], float(w[-1]), prior)
@@ -149,6 +152,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     repeated rows are scored each; other columns are ignored.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in slices(b.column(1)):
@@ -166,6 +170,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in slices(b.column(at)):

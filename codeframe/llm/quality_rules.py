@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text, slices
+from codeframe.llm._common import id_and_text, slices, tidy
 from codeframe.llm._words import Hasher, Words, base_counts, hashed_counts
 
 #: Bins of word n-grams and of character n-grams (a power of two).
@@ -112,6 +112,7 @@ def features(rows: DataFrame, kernel) -> tuple[np.ndarray, np.ndarray]:
     ``kernel(data, offs)`` gives a float32 row per text; executors run it.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in slices(b.column(1)):
@@ -144,6 +145,7 @@ def apply_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, min_wor
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in slices(b.column(1)):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text, text_hash, write_shared
+from codeframe.llm._common import id_and_text, text_hash, tidy, write_shared
 from codeframe.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -55,6 +55,7 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, kt, fp): fp as a signed long; kt tells rows of one id but different text apart."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or "", size) for t in b.column(2)], _U).view(np.int64)
@@ -158,6 +159,7 @@ def keys_of(fp: Column) -> Column:
 SHORT = 32
 
 
+@tidy
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of (key, i, j) in sorted order; side 0 holds block i, side 1 block j (all is side 0 where i = j)."""
     rest: dict[str, np.ndarray] | None = None

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeframe.llm._common import id_and_text, slices, text_hash, utf8, write_shared
+from codeframe.llm._common import id_and_text, slices, text_hash, tidy, utf8, write_shared
 from codeframe.llm._words import Hasher
 
 LENGTH, GRAM = 200, 40
@@ -109,12 +109,39 @@ def _batch(schema: str, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k], kinds[x.split()[1]]) for k, x in zip(names, schema.split(", "))], names)
 
 
+#: Anchors that a task gathers before it folds the equal ones.
+FOLD_ROWS = 300_000
+
+
+@tidy
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input doc_id, kt, text.  Repeats inside a batch are told at once and folded to one row that counts as two."""
+    """Input doc_id, kt, text.  Repeats inside a task's share are told at once and folded to one row that counts as two."""
+    names = ("kh", "ch", "doc_id", "kt", "row", "s", "a", "e")
+    rows: dict[str, list[np.ndarray]] = {k: [] for k in names}
+    held = seen = 0
+
+    def fold():
+        g = {k: np.concatenate(x) for k, x in rows.items()}
+        order = np.lexsort((g["ch"], g["kh"]))
+        kh, ch = g["kh"][order], g["ch"][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (kh[1:] != kh[:-1]) | (ch[1:] != ch[:-1])
+        size = np.diff(np.append(np.nonzero(new)[0], len(order)))
+        twice, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        twice[order] = np.repeat(size > 1, size)
+        first[order[new]] = True
+        at = np.nonzero(twice)[0]  # in the order of rows and positions
+        s, e, row = merge(g["s"][at], g["e"][at], g["row"][at])
+        if len(s):
+            own = at[np.searchsorted(g["row"][at], row)]
+            z = np.zeros(len(s), np.int64)
+            yield _batch(ANCHOR_ROW, kind=z, kh=g["kh"][own], ch=z, doc_id=g["doc_id"][own], kt=g["kt"][own], s=s, a=z, e=e, n=z)
+        one = {k: x[first] for k, x in g.items() if k != "row"}
+        yield _batch(ANCHOR_ROW, kind=np.full(int(first.sum()), _ANCHOR), n=1 + twice[first], **one)
+
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         kts = b.column(1).to_numpy(zero_copy_only=False)
-        rows: dict[str, list[np.ndarray]] = {k: [] for k in ("kh", "ch", "row", "s", "a", "e")}
         for i, _, data, offs in slices(b.column(2)):
             a, kh = anchors(data, offs)
             if not len(a):
@@ -123,27 +150,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, e = np.maximum(offs[doc], a + GRAM - LENGTH), np.minimum(offs[doc + 1], a + LENGTH)
             raw = data.tobytes()
             ch = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(s.tolist(), e.tolist(), (a - s).tolist())), _U, len(a))
-            for k, x in (("kh", kh.view(np.int64)), ("ch", ch.view(np.int64)), ("row", doc + i), ("s", s - offs[doc]), ("a", a - offs[doc]), ("e", e - offs[doc])):
-                rows[k].append(x)
-        if not rows["kh"]:
-            continue
-        g = {k: np.concatenate(x) for k, x in rows.items()}
-        order = np.lexsort((g["ch"], g["kh"]))
-        kh, ch = g["kh"][order], g["ch"][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (kh[1:] != kh[:-1]) | (ch[1:] != ch[:-1])
-        size = np.diff(np.append(np.nonzero(new)[0], len(order)))
-        twice = np.zeros(len(order), bool)
-        twice[order] = np.repeat(size > 1, size)
-        first = np.zeros(len(order), bool)
-        first[order[new]] = True
-        s, e, doc = merge(g["s"][twice], g["e"][twice], g["row"][twice])
-        if len(s):
-            z = np.zeros(len(s), np.int64)
-            yield _batch(ANCHOR_ROW, kind=z, kh=g["kh"][twice][: len(s)], ch=z, doc_id=ids[doc], kt=kts[doc], s=s, a=z, e=e, n=z)
-        one = {k: x[first] for k, x in g.items()}
-        row = one.pop("row")
-        yield _batch(ANCHOR_ROW, kind=np.full(len(row), _ANCHOR), doc_id=ids[row], kt=kts[row], n=1 + twice[first], **one)
+            part = {"kh": kh.view(np.int64), "ch": ch.view(np.int64), "doc_id": ids[doc + i], "kt": kts[doc + i], "row": doc + i + seen, "s": s - offs[doc], "a": a - offs[doc], "e": e - offs[doc]}
+            for k in names:
+                rows[k].append(part[k])
+            held += len(a)
+            if held >= FOLD_ROWS:
+                yield from fold()
+                rows, held = {k: [] for k in names}, 0
+        seen += b.num_rows
+    if held:
+        yield from fold()
 
 
 def _bucket_rows(limit: int):
@@ -177,6 +193,7 @@ def _bucket_rows(limit: int):
             solo = ~repeat[ask]
             yield _batch(FOUND_ROW, kind=np.full(len(ask), _ASK), kh=g["kh"][ask], doc_id=g["doc_id"][ask], kt=g["kt"][ask], s=g["s"][ask], a=g["a"][ask], e=g["e"][ask], solo=solo, big=np.full(len(ask), big))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, several, big = None, False, False
         for b in batches:
@@ -354,6 +371,7 @@ AROUND_ROW = "kh long, doc_id long, kt long, a int, before int, solo boolean, ar
 SPAN_ROW = "doc_id long, kt long, s int, e int"
 
 
+@tidy
 def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings in order of kh: whole grams are gathered to SORT_ROWS and matched together."""
     names = [x.split()[0] for x in AROUND_ROW.split(", ")]
@@ -411,6 +429,7 @@ def _packed(docs: DataFrame, extra: list[str]) -> DataFrame:
     """doc_id, kt, packed text and the extra columns as x0, x1, ...: what has to be shuffled, compressed."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kt", T.LongType()), T.StructField("packed", T.BinaryType()), *(T.StructField(f"x{i}", docs.schema[c].dataType) for i, c in enumerate(extra))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
@@ -423,15 +442,17 @@ def _packed(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _same(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["kt"] == b["kt"])
+    """Rows of a and keys of b; a null id has the key 0, and one of equal id and text has the same spans anyhow."""
+    return (F.coalesce(a["doc_id"], F.lit(0)) == b["doc_id"]) & (a["kt"] == b["kt"])
 
 
 def _around(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """The surroundings that were asked for."""
     per_doc = asked.groupBy("doc_id", "kt").agg(F.collect_list(F.struct("kh", "s", "a", "e", "solo")).alias("asks"))
     packed = _packed(docs, [])
-    joined = packed.join(per_doc, _same(packed, per_doc)).select(packed["doc_id"], packed["kt"], "packed", "asks")
+    joined = packed.join(per_doc, _same(packed, per_doc)).select(per_doc["doc_id"], per_doc["kt"], "packed", "asks")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
@@ -456,6 +477,7 @@ def _counted(around: DataFrame) -> DataFrame:
     """Grams with too many surroundings for a task: count hashes of all their stretches."""
     schema = "kh long, o int, h1 long, h2 long, doc_id long, kt long, a int, solo boolean"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {x.split()[0]: [] for x in schema.split(", ")}
@@ -480,7 +502,7 @@ def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     Two rows of one id and one text are two documents that repeat each other, with the
     same spans.  Null text has none.
     """
-    rows = id_and_text(docs).where(F.octet_length("text") >= LENGTH).select("doc_id", text_hash(), "text").mapInArrow(_anchor_rows, ANCHOR_ROW)
+    rows = id_and_text(docs).where(F.octet_length("text") >= LENGTH).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), text_hash(), "text").mapInArrow(_anchor_rows, ANCHOR_ROW)
     buckets = rows.repartition("kh").sortWithinPartitions("kh", "ch", "doc_id", "kt", "a").mapInArrow(_bucket_rows(group_rows), FOUND_ROW)
     found = write_shared(buckets, "repeats")
     told = found.where(F.col("kind") == _REPEAT).select("doc_id", "kt", "s", "e")
@@ -523,6 +545,7 @@ def digest(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     repeated rows repeat each other and both lose their text; other columns are ignored.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
@@ -549,6 +572,7 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in docs.columns if c == "doc_id"] + [T.StructField("text", T.StringType())] + [docs.schema[c] for c in extra])
     schema["doc_id"].dataType = T.LongType()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text
+from codeframe.llm._common import id_and_text, tidy
 
 #: Entries of the broadcast table, and the bounded sample that it is chosen from.
 #: The sample decides only what is found in tier one, never a count.
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
     key = (path, shared._jbroadcast.id())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _counters.get(key)
         if own is None:
