@@ -32,6 +32,9 @@ def share_code(spark: SparkSession) -> SparkSession:
 
     On a cluster without a shared file system ship a zip of the package with ``addPyFile`` instead.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # rows here are whole texts: a batch of 10,000 would be tens of MB on both sides of every worker
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
