@@ -2,7 +2,8 @@
 
 A regular-expression extractor, not a parser: definitions, imports and calls of a
 line are found by the rules of its language; the end of a symbol is the line before
-the next definition at the same or a lesser indent.
+the next definition at the same or a lesser indent, and a definition that ends in a
+semicolon is one line.
 """
 
 from __future__ import annotations
@@ -48,11 +49,11 @@ def symbols(files: DataFrame) -> DataFrame:
     exported: Column = F.lit(False)
     for name, rule in RULES.items():
         exported = F.when(lang == name, v.rlike(rule[2])).otherwise(exported)
-    defs = each.withColumn("symbol", _by_language(0, 2, v, lang)).where("symbol <> ''").select("file", "language", "line", "symbol", word.alias("word"), indent.alias("indent"), exported.alias("is_exported"), F.nullif(F.regexp_extract(v, r"class\s+\w+\s*(?:\(|:|extends)\s*([\w, .]+)", 1), F.lit("")).alias("base_classes"))
+    defs = each.withColumn("symbol", _by_language(0, 2, v, lang)).where("symbol <> ''").select("file", "language", "line", "symbol", word.alias("word"), indent.alias("indent"), v.rlike(r";\s*$").alias("closed"), exported.alias("is_exported"), F.nullif(F.regexp_extract(v, r"class\s+\w+\s*(?:\(|:|extends)\s*([\w, .]+)", 1), F.lit("")).alias("base_classes"))
     w = W.partitionBy("file").orderBy("line").rowsBetween(1, W.unboundedFollowing)
     later = F.collect_list(F.struct("line", "indent")).over(w)
     nxt = F.element_at(F.filter(later, lambda x: x["indent"] <= F.col("indent")), 1)["line"]
-    spans = defs.withColumn("next_line", F.when(F.size(F.filter(later, lambda x: x["indent"] <= F.col("indent"))) > 0, nxt)).join(n, "file").withColumn("end_line", F.coalesce(F.col("next_line") - 1, F.col("n_lines")))
+    spans = defs.withColumn("next_line", F.when(F.size(F.filter(later, lambda x: x["indent"] <= F.col("indent"))) > 0, nxt)).join(n, "file").withColumn("end_line", F.when(F.col("closed"), F.col("line")).otherwise(F.coalesce(F.col("next_line") - 1, F.col("n_lines"))))
     flow = each.where(v.rlike(r"\b(if|for|while|switch|match|try|loop)\b")).select("file", F.col("line").alias("at"), F.floor(F.length(F.regexp_extract(v, r"^(\s*)", 1)) / 4).alias("nest"))
     inner = spans.select("file", "line", "end_line", F.floor(F.col("indent") / 4).alias("base")).join(flow, "file").where("at >= line and at <= end_line")
     depth = F.greatest(F.col("nest") - F.col("base") - 1, F.lit(0))

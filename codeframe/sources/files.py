@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeframe.functions import paths
 
-SYMBOLS = T.StructType.fromDDL(
+SYMBOLS = (
     "symbol string, hash string, semantic_hash string, kind string, module string, file string, lines string, risk string, cognitive_complexity long, max_nesting long, is_escape_local boolean, framework_entry_point string, "
     "is_exported boolean, decorators string, arity long, is_async boolean, return_type string, ext_package string, base_classes string"
 )
-SIGNATURES = T.StructType.fromDDL(
+SIGNATURES = (
     "symbol_hash string, name string, file string, module string, start_line long, name_tokens array<string>, call_fingerprint long, control_flow_fingerprint long, state_fingerprint long, business_calls array<string>, param_count int, "
     "has_business_logic boolean, boilerplate_category string, line_count long"
 )
@@ -35,7 +34,7 @@ def _quote(s: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in s)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a fixed schema; malformed lines are dropped, unknown fields ignored, absent ones null."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
