@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeframe.functions import paths, registry, rules, text
+from codeframe.functions import boilerplate, paths, registry, rules, text
 from codeframe.operators import duplicates
 from codeframe.plans.registry import query
 from codeframe.plans.views import Views
@@ -102,8 +102,8 @@ def g32(spark, d):
 def d10p(spark, d):
     """Documents, read as source of a language by source number, against the catalogue; fingerprints have no cheap SQL."""
     langs = F.array(*[F.lit(x) for x in ("python", "java", "javascript", "go")])
-    calls = F.array(F.lit("loads"), F.lit("lookup"), F.lit("exec"), F.lit("system"))
-    f = Views(spark, d).files.select("doc_id", F.element_at(langs, (F.col("doc_id") % 4 + 1).cast("int")).alias("language"), F.concat(F.lit("if x: try: "), F.element_at(calls, (F.col("doc_id") % 4 + 1).cast("int")), F.lit("(y)")).alias("text"))
+    calls = F.array(F.lit("load(a); loads(y)"), F.lit("deserialize(a); readObject(b)"), F.lit("exec(a); spawn(b)"), F.lit("system(a)"))
+    f = Views(spark, d).files.select("doc_id", F.element_at(langs, (F.col("doc_id") % 4 + 1).cast("int")).alias("language"), F.concat(F.lit("try: "), F.element_at(calls, (F.col("doc_id") % 4 + 1).cast("int")), F.when(F.col("doc_id") % 3 == 0, "; other(z)").otherwise("")).alias("text"))
     return duplicates.match_patterns(patterns.fingerprints(f), patterns.catalogue(spark), 0.3)
 
 
@@ -118,7 +118,7 @@ def c5(spark, d):
     return Views(spark, d).lines.where(t.rlike("^(if|for|while|match|try)")).select("file", "line", F.lower(F.regexp_extract(t, "^(if|for|while|match|try)[^ ]*", 0)).alias("term"))
 
 
-@query("C4_path_terms", "select distinct file, array_to_string(list_distinct([regexp_extract(file, '([^/.]+)[.][^/]*$', 1), split_part(file, '/', 2)]), ' ') as terms from symbols where file like 'src/brand1/%'")
+@query("C4_path_terms", "select distinct file, regexp_extract(file, '([^/.]+)[.][^/]*$', 1) || ' ' || split_part(file, '/', 2) as terms from symbols where file like 'src/brand1/%'")
 def c4(spark, d):
     f = Views(spark, d).symbols.where(F.col("file").startswith("src/brand1/")).select("file").distinct()
     return f.select("file", F.array_join(F.array_distinct(F.concat(text.bm25_terms(paths.stem(F.col("file"))), text.bm25_terms(paths.base_name(paths.parent_dir(F.col("file")))))), " ").alias("terms"))
@@ -183,3 +183,30 @@ def n1(spark, d):
 def n3(spark, d):
     f = Views(spark, d).table("part").select(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"), F.lit("go").alias("language"), F.concat(F.lit('package x\nimport (\n  "pkg/'), F.substring("p_brand", 7, 9), F.lit('"\n)\n')).alias("text"))
     return extract.imports(f)
+
+
+_NAMES = ["handleClick", "isUser", "set_size", "with_name", "new", "drop", "Awake", "Equals", "compute", "getStaticProps"]
+_CLASSES = ["event_handler", "type_guard", "rust_setter", "rust_builder", "rust_constructor", "rust_drop", "unity_lifecycle", "equality_members", None, "nextjs_data_fetching"]
+
+
+@query("D9_boilerplate", f"select p_partkey, case when p_size % 7 = 0 then 'mine' else ({'[' + ', '.join('null' if x is None else repr(x) for x in _CLASSES) + ']'})[p_partkey % 10 + 1] end as category from part")
+def d9(spark, d):
+    names = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    p = Views(spark, d).table("part").select("p_partkey", names.alias("name"), F.when(F.col("p_size") % 7 == 0, "src/gen/x.ts").otherwise("src/a.ts").alias("file"))
+    s = boilerplate.Symbol(F.col("name"), F.array().cast("array<string>"), F.lit(""), F.col("file"), F.lit(0), none)
+    return p.select("p_partkey", boilerplate.classify(s, [boilerplate.custom("mine", file_glob="src/gen/**")]).alias("category"))
+
+
+@query("E2_entry_points", "select p_partkey, (['nextjs_page', 'nest_controller', 'react_component', 'main', 'none'])[p_partkey % 5 + 1] as entry_point from part")
+def e2(spark, d):
+    at = (F.col("p_partkey") % 5 + 1).cast("int")
+    file = F.element_at(F.array(*map(F.lit, ["pages/a.tsx", "src/u.controller.ts", "src/V.tsx", "src/m.rs", "src/m.rs"])), at)
+    name = F.element_at(F.array(*map(F.lit, ["Home", "UserCtl", "View", "main", "helper"])), at)
+    return Views(spark, d).table("part").select("p_partkey", boilerplate.entry_point(file, name).alias("entry_point"))
+
+
+@query("D7_cluster_summary", "select class_id, count(*) || ' copies, ' || case when count(*) > 3 then 'many' else 'few' end as summary from (select s.doc_id, r.doc_id as class_id from signatures s join (select calls, names, params, min(doc_id) as doc_id from signatures group by 1, 2, 3) r on r.calls = s.calls and r.names = s.names and r.params = s.params) group by 1 having count(*) > 1")
+def d7(spark, d):
+    c = duplicates.classes(Views(spark, d).signatures).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
+    return c.select("class_id", F.concat(F.col("n").cast("string"), F.lit(" copies, "), F.when(F.col("n") > 3, "many").otherwise("few")).alias("summary"))
