@@ -127,3 +127,37 @@ def test_greedy_clusters(spark):
 def test_empty_diff(spark):
     e = spark.createDataFrame([], "k string, v long, risk string")
     assert diff.semantic_diff(e, e, "k", ["v"]).count() == 0
+
+
+def test_near_pairs_equal_brute_force(spark):
+    import random
+
+    r = random.Random(1)
+    rows = []
+    for i in range(160):
+        if rows and r.random() < 0.5:
+            calls, names, params = (list(x) if isinstance(x, list) else x for x in rows[r.randrange(len(rows))][1:])
+            if r.random() < 0.7 and calls:
+                calls[r.randrange(len(calls))] = r.choice("abcdefgh")
+            if r.random() < 0.5:
+                params = r.randrange(8)
+        else:
+            calls, names, params = [r.choice("abcdefgh") for _ in range(r.randrange(0, 7))], [r.choice("xyz")], r.randrange(8)
+        rows.append((i, calls, names, params))
+    sigs = duplicates.signatures(spark.createDataFrame(rows, "doc_id long, calls array<string>, names array<string>, params long"))
+    got = {(x.a, x.b): x.similarity for x in duplicates.candidate_pairs(sigs, 64).where("similarity >= 0.8").collect()}
+    fp = {x.doc_id: x for x in sigs.collect()}
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    bits = lambda a, b: 1 - ((a ^ b) % 2**64).bit_count() / 64
+    first = {}
+    for i, c, n, p in rows:
+        first.setdefault((tuple(c), tuple(n), p), i)
+    want = {}
+    for a in first.values():
+        for b in first.values():
+            x, y = fp[a], fp[b]
+            if a < b and abs(x.params - y.params) <= 2 and abs(len(x.calls) - len(y.calls)) <= 3:
+                s = jac(x.calls, y.calls) * 0.45 + jac(x.names, y.names) * 0.2 + bits(x.params, y.params) * 0.2 + bits(x.state_fp, y.state_fp) * 0.15
+                if round(s, 6) >= 0.8:
+                    want[a, b] = round(s, 6)
+    assert got == want and len(want) > 50
