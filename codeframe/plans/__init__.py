@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeframe.plans import q_functions, q_graph, q_search, q_sources, q_store  # noqa: F401  (they register)
+from codeframe.plans import q_functions, q_graph, q_more, q_search, q_sources, q_store  # noqa: F401  (they register)
 from codeframe.plans.registry import QUERIES, SQL
 
 
