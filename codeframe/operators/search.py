@@ -75,21 +75,24 @@ def bm25_index(docs: DataFrame, id_col: str, terms: Column, counting: bool = Fal
 def bm25_search(terms: DataFrame, wanted: list[str], limit: int | None = None) -> DataFrame:
     """id, score and matched terms (in the order of the query) of documents that have any wanted term.
 
-    Only rows of wanted terms are joined; corpus size and mean length come from the index.
+    One grouping of the terms by document gives its length and its wanted terms; corpus
+    size, mean length and document frequencies are one row over the same grouping, whose
+    exchange is reused, so the index is read once.
     """
-    lengths = terms.groupBy("id").agg(F.sum("tf").alias("dl"))
-    meta = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hit = terms.where(F.col("term").isin(wanted))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    # both broadcast sides are bounded: one row, and a row per query term
-    each = hit.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(meta), F.lit(True))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rank = F.lit(len(wanted))
-    for i, w in reversed(list(enumerate(wanted))):
-        rank = F.when(F.col("term") == w, i).otherwise(rank)
-    matched = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("term")))), lambda x: x["term"]), ",")
-    out = each.groupBy("id").agg(F.sum(part).alias("score"), matched.alias("matched"))
+    words = F.array(*map(F.lit, wanted))
+    hit = F.when(F.col("term").isin(wanted), F.struct(F.array_position(words, F.col("term")).cast("int").alias("at"), "term", "tf"))
+    per = terms.groupBy("id").agg(F.sum("tf").alias("dl"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    has = lambda w: F.exists("hits", lambda h: h["term"] == w)
+    counts = [F.count_if(has(w)) for w in wanted]
+    meta = per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*counts).alias("df"))
+    each = per.where(F.size("hits") > 0).join(F.broadcast(meta), F.lit(True))  # one row
+
+    def part(h):
+        df, tf = F.element_at("df", h["at"]), h["tf"]
+        return F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    score = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + part(h))
+    out = each.select("id", score.alias("score"), F.array_join(F.transform("hits", lambda h: h["term"]), ",").alias("matched"))
     return out if limit is None else page(out, [F.desc("score"), "id"], limit)
 
 
