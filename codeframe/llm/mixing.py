@@ -154,9 +154,9 @@ def drawn_rows(docs: DataFrame, target: Target = Target(), source_col: str = "so
     # the last pass takes rows in the order of their hash: the first one left out is the cut
     cuts = out.where("not taken").groupBy("source").agg(F.min("h").alias("cut"))
     p, c = plan.alias("p"), cuts.alias("c")
-    known = write_shared(p.join(c, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(F.col("p.source").alias("_s"), F.col("p.whole").alias("_whole"), F.coalesce("c.cut", F.lit((1 << 63) - 1)).alias("_cut"), F.col("p.tokens").alias("_tokens")), "mix-cuts")
+    known = write_shared(p.join(c, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(F.col("p.source").alias("__cf_s"), F.col("p.whole").alias("__cf_whole"), F.coalesce("c.cut", F.lit((1 << 63) - 1)).alias("__cf_cut"), F.col("p.tokens").alias("__cf_tokens")), "mix-cuts")
     side = F.broadcast(known) if known.count() <= BROADCAST_SOURCES else known
-    last = _hash(target.seed, F.col("_whole"), F.col("doc_id").cast("long"), _kt(F.col("text")))
-    times = F.when(F.col("_tokens") > 0, F.col("_whole") + (last < F.col("_cut")).cast("int")).otherwise(1)
-    joined = docs.join(side, F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumn("_n", times).where("_n > 0")
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    last = _hash(target.seed, F.col("__cf_whole"), F.col("doc_id").cast("long"), _kt(F.col("text")))
+    times = F.when(F.col("__cf_tokens") > 0, F.col("__cf_whole") + (last < F.col("__cf_cut")).cast("int")).otherwise(1)
+    joined = docs.join(side, F.col(source_col).cast("string").eqNullSafe(F.col("__cf_s"))).withColumn("__cf_n", times).where("__cf_n > 0")
+    return joined.withColumn("__cf_i", F.explode(F.sequence(F.lit(1), F.col("__cf_n")))).select(*(F.col(f"`{c}`") for c in docs.columns))

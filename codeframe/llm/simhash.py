@@ -249,8 +249,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each component, that of the least id."""
-    keep = rows_with_component(docs, block).select(F.col("component_id").alias("_id"), F.col("rep_kt").alias("_kt")).distinct()
-    text = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_kt"))
-    kept = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_t": text}).join(keep, same, "left_semi")
-    return kept.dropDuplicates(["_d", "_t"]).drop("_d", "_t")
+    # plain equalities, a null id as a flag: rows stay where the join put them when repeats go
+    parts = lambda d, t: {"__cf_d": F.coalesce(d, F.lit(0)), "__cf_z": d.isNull(), "__cf_t": t}
+    keys = ["__cf_d", "__cf_z", "__cf_t"]
+    keep = rows_with_component(docs, block).select(*[c.alias(k) for k, c in parts(F.col("component_id"), F.col("rep_kt")).items()]).distinct()
+    text = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    kept = docs.withColumns(parts(F.col("doc_id").cast("long"), text)).join(keep, keys, "left_semi")
+    return kept.dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
