@@ -3,11 +3,13 @@
 A vector is a sum of one full-dimensional codeword from each of BOOKS codebooks,
 fitted to residuals one after the other on a bounded sample and refined together
 by least squares.  Encoding is a beam search; the vector's norm is stored beside
-its codes.  A query scores codes by table look-up; the best of every block of
-candidates are merged and ranked again by exact inner products in double precision.
+its codes, and a bound on what the codes miss.  A query scores codes by table look-up;
+in every block of candidates those whose score and bound cannot reach the k-th best
+are left out, and all others are ranked by exact inner products in double precision.
+No list has a fixed length, so nothing near is lost at any size of the table.
 
 Queries and candidates meet in pairs of blocks, a stated query set against all
-rows; no pair of rows leaves a task but each block's best.
+rows; no pair of rows leaves a task but each block's best k.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from codeframe.llm._common import tidy, write_shared
 BOOKS, WORDS, BEAM = 8, 256, 8
 #: Rows that the codebooks are fitted on, at most: the least by a hash of their id.
 TRAIN_ROWS = 8_000
-#: Candidates and queries of one task; candidates of each query that are ranked exactly.
-BLOCK_ROWS, BLOCK_QUERIES, RERANK = 16_384, 4_096, 300
+#: Candidates and queries of one task.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -110,47 +112,74 @@ def _encode_rows(q: Quantiser, d: int):
         for b in batches:
             x = _matrix(b.column(1), d)
             codes = q.encode(x)
-            length = np.linalg.norm(q.decode(codes), axis=1)
+            whole = q.decode(codes)
             # the stored norm, over that of the sum of codewords: a score is (sum of look-ups) * norm
-            norm = np.linalg.norm(x, axis=1) / np.maximum(length, 1e-12)
+            own = np.linalg.norm(x.astype(np.float64), axis=1)
+            norm = (own / np.maximum(np.linalg.norm(whole, axis=1), 1e-12)).astype(np.float32)
+            # a score is off by at most |query| * far: what the codes miss, and the rounding of single precision
+            words = np.linalg.norm(q.books, axis=2)[np.arange(len(q.books)), codes].sum(1, dtype=np.float64)
+            far = np.linalg.norm(x.astype(np.float64) - norm[:, None] * whole.astype(np.float64), axis=1) + (d + 16) * 1.2e-7 * (own + norm * words)
             raw = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array(norm.astype(np.float32))], ["vec_id", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw, pa.array(norm), pa.array(far)], ["vec_id", "v", "codes", "norm", "far"])
 
     return run
 
 
-def _block_best(q: Quantiser, d: int, keep: int):
-    """Best ``keep`` candidates by look-up for each query of a pair of blocks."""
-    m, k, _ = q.books.shape
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; minus infinity if there are not more than k."""
+    n = s.shape[1]
+    return np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(len(s), -np.inf)
+
+
+def _block_best(q: Quantiser, d: int, k: int):
+    """The ``k`` nearest candidates of each query of a pair of blocks, with exact scores."""
+    m, w, _ = q.books.shape
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("guess", pa.float32())])
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         qid, x = left["vec_id"].to_numpy(), _matrix(left["v"].combine_chunks(), d)
-        vid, norm = right["vec_id"].to_numpy(), right["norm"].to_numpy()
+        vid, norm, far = (right[c].to_numpy() for c in ("vec_id", "norm", "far"))
+        y = _matrix(right["v"].combine_chunks(), d).astype(np.float64)
+        longest = np.linalg.norm(y, axis=1).max()
         codes = np.frombuffer(b"".join(right["codes"].to_pylist()), np.uint8).reshape(-1, m)
         out: list[list[np.ndarray]] = [[], [], []]
-        n = min(keep + 1, len(vid))
         for i in range(0, len(qid), 128):
+            ids, part = qid[i : i + 128], x[i : i + 128].astype(np.float64)
+            size = np.linalg.norm(part, axis=1)[:, None]
             tables = x[i : i + 128] @ q.flat.T
             s = np.zeros((len(tables), len(vid)), np.float32)
             for b in range(m):
-                s += tables[:, b * k : (b + 1) * k][:, codes[:, b]]
-            s *= norm
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            out[0].append(np.repeat(qid[i : i + 128], n))
-            out[1].append(vid[at].ravel())
-            out[2].append(np.take_along_axis(s, at, 1).ravel())
-        a, c, g = (np.concatenate(o) for o in out)
-        other = a != c
-        return pa.table([a[other], c[other], g[other]], schema=schema)
+                s += tables[:, b * w : (b + 1) * w][:, codes[:, b]]
+            s = s * norm.astype(np.float64)
+            other, reach = ids[:, None] != vid, size * far
+            low = s - reach
+            low[~other | ~np.isfinite(low)] = -np.inf
+            other &= ~(s + reach < _kth(low, k)[:, None])
+            cols = np.flatnonzero(other.any(0))
+            if not len(cols):
+                continue
+            dots = np.where(other[:, cols], part @ y[cols].T, -np.inf)
+            # products of matrices may round equal rows differently: near the k-th best, components are added in order
+            a, c = np.nonzero((dots >= _kth(dots, k)[:, None] - d * 1e-15 * longest * size) & (dots > -np.inf))
+            c = cols[c]
+            score = np.zeros(len(a))
+            for j in range(d):
+                score += part[a, j] * y[c, j]
+            order = np.lexsort((vid[c], -score, a))
+            a, c, score = a[order], c[order], score[order]
+            first = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out[0].append(ids[a[first]])
+            out[1].append(vid[c[first]])
+            out[2].append(score[first])
+        return pa.table([np.concatenate(o) for o in out], schema=schema) if out[0] else schema.empty_table()
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of every query among all usable rows but its own id.
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest of every query among all usable rows but its own id.
 
     ``queries`` are rows of ``usable(...)``; score is the exact inner product of the
     original vectors in double precision, ties go to the smaller vec_id.  With fewer
@@ -167,22 +196,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
     d = len(sample["v"][0])
     x = _matrix(sample["v"].combine_chunks(), d)
     q = fit(x, words=WORDS if len(x) >= WORDS else max(1, len(x)))
-    coded = rows.mapInArrow(_encode_rows(q, d), "vec_id long, codes binary, norm float")
+    coded = rows.mapInArrow(_encode_rows(q, d), "vec_id long, v array<float>, codes binary, norm float, far double")
     n, nq = rows.count(), queries.count()
     nb, qb = max(1, -(-n // BLOCK_ROWS)), max(1, -(-nq // BLOCK_QUERIES))
     all_of = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
     asks = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qb)).cast("int").alias("qb"), all_of(nb, "cb"))
-    cands = coded.select("vec_id", "codes", "norm", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(nb)).cast("int").alias("cb"), all_of(qb, "qb"))
-    best = asks.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInArrow(_block_best(q, d, rerank), "query_id long, vec_id long, guess float")
-    near = best.distinct().withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id"))).where(F.col("r") <= rerank)
-    pairs = near.select("query_id", "vec_id").join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    exact = pairs.select("query_id", "vec_id", dot.alias("score"))
+    cands = coded.select("vec_id", "v", "codes", "norm", "far", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(nb)).cast("int").alias("cb"), all_of(qb, "qb"))
+    exact = asks.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInArrow(_block_best(q, d, k), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``search`` with the rows whose vec_id is divisible by ``every`` as queries."""
     rows = usable(vectors)
-    return search(rows, rows.where(F.col("vec_id") % every == 0), k, rerank)
+    return search(rows, rows.where(F.col("vec_id") % every == 0), k)

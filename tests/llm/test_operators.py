@@ -356,6 +356,23 @@ def test_ann_small_and_empty(spark):
     assert ann.neighbours(few.limit(0)).count() == 0
 
 
+def nearest(ids, x, q, k=20):
+    s = x @ x[ids == q][0]
+    s[ids == q] = -np.inf
+    return ids[np.lexsort((ids, -s))[:k]].tolist()
+
+
+def test_ann_recall_on_a_larger_table(spark):
+    x = np.random.RandomState(5).normal(size=(20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = ann.neighbours(df, every=500).orderBy("query_id", "rank").toPandas()
+    ids, x = np.arange(len(x)), x.astype(np.float64)
+    assert sorted(set(got.query_id)) == list(range(0, 20_000, 500))
+    for q, mine in got.groupby("query_id"):
+        assert mine.vec_id.tolist() == nearest(ids, x, q)
+
+
 # ------------------------------------------------------------------ mixing
 
 
