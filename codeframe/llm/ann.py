@@ -196,8 +196,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     d = len(sample["v"][0])
     x = _matrix(sample["v"].combine_chunks(), d)
     q = fit(x, words=WORDS if len(x) >= WORDS else max(1, len(x)))
-    coded = rows.mapInArrow(_encode_rows(q, d), "vec_id long, v array<float>, codes binary, norm float, far double")
-    n, nq = rows.count(), queries.count()
+    # of equal vectors the k + 1 smallest ids (one may be the query's own) can be among the k nearest, the others never
+    copies = rows.withColumn("copy", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
+    some = write_shared(copies.select("vec_id", "v"), "ann-folded")
+    coded = some.mapInArrow(_encode_rows(q, d), "vec_id long, v array<float>, codes binary, norm float, far double")
+    n, nq = some.count(), queries.count()
     nb, qb = max(1, -(-n // BLOCK_ROWS)), max(1, -(-nq // BLOCK_QUERIES))
     all_of = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
     asks = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qb)).cast("int").alias("qb"), all_of(nb, "cb"))

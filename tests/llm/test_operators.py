@@ -373,6 +373,22 @@ def test_ann_recall_on_a_larger_table(spark):
         assert mine.vec_id.tolist() == nearest(ids, x, q)
 
 
+def test_ann_ties_of_many_copies_go_to_the_smallest_ids(spark):
+    rng = np.random.RandomState(6)
+    ids, x = np.arange(3000), rng.normal(size=(3000, 8)).astype(np.float32)
+    x[ids % 3 > 0] = x[1]  # 2,000 equal rows
+    x[ids % 9 == 0] = (x[1] + rng.normal(size=(len(x[ids % 9 == 0]), 8)) * 1e-4).astype(np.float32)  # and 334 nearly so
+    order = rng.permutation(3000)
+    for parts in (1, 7):
+        df = spark.createDataFrame(pa.table({"vec_id": ids[order], "embedding": list(x[order])})).repartition(parts)
+        got = ann.neighbours(df, every=100).orderBy("query_id", "rank").toPandas()
+        assert sorted(set(got.query_id)) == list(range(0, 3000, 100))
+        for q, mine in got.groupby("query_id"):
+            s = sum(x[q, j].astype(np.float64) * x[:, j] for j in range(8))  # in the order of components: equal rows tie
+            s[q] = -np.inf
+            assert mine.vec_id.tolist() == np.lexsort((ids, -s))[:20].tolist()
+
+
 # ------------------------------------------------------------------ mixing
 
 
