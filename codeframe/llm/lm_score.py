@@ -1,13 +1,14 @@
 """Language-model scores by cross-entropy difference.
 
 A target model (texts that the labels call good) and a background model (all
-documents) are bigram models of the same kind over one shared vocabulary: the
-commonest words of the whole corpus, a text start and one unknown word.  A text's
-score is the mean difference of its per-token losses; higher is nearer the target.
-
-Counts cover every document.  Each task adds up its pairs before the shuffle; the
-model has at most VOCABULARY**2 cells however large the corpus, which bounds what
-is collected and broadcast.
+documents) are bigram models of the same kind over one shared vocabulary: all words
+of the whole corpus (or the commonest, if a size is stated) and a text start.  A
+text's score is the mean difference of its per-token losses; higher is nearer the
+target.
+
+The models grow with the corpus and are never in one place.  Texts are packed into
+slices; each slice's distinct n-grams meet those of the others by 64-bit hash in
+partitions, where they are counted, and the counts go back to the slices that asked.
 """
 
 from __future__ import annotations
@@ -17,18 +18,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text, tidy, utf8, write_shared
+from codeframe.llm._common import id_and_text, tidy, write_shared
+from codeframe.llm._words import mix
+
+#: Weight of the unigram in a bigram estimate.
+BACKOFF = 20.0
+#: Distinct words that a task holds before it hands them on, where a vocabulary of a stated size is counted.
+HELD_WORDS = 200_000
+#: Characters of a slice of texts, about; tokens for each partition of n-grams, about; good ids that are broadcast, at most.
+SLICE_CHARS, PART_TOKENS, BROADCAST_IDS = 1 << 21, 2_000_000, 100_000
+#: Hashes of the text start and of any word outside a vocabulary of a stated size.
+START, UNKNOWN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: N-grams of each slice: (previous, word) with how often it occurs; a word, or the start, with how often it occurs and how often it is previous.
+PAIR, WORD = 0, 1
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """All first bytes, all second bytes and so on: small numbers and sorted hashes are compressed well so."""
+    return a.ravel().view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
 
-#: Words of the shared vocabulary, with START and UNKNOWN; weight of the unigram in a bigram estimate.
-VOCABULARY, START, UNKNOWN, BACKOFF = 1024, 0, 1, 20.0
-#: Distinct words that a task holds before it hands them on; longer words are unknown.
-HELD_WORDS, WORD_CHARS = 200_000, 64
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
+def vocabulary(docs: DataFrame, size: int) -> list[str]:
     """The ``size - 2`` commonest words of all documents; ties in the order of the words."""
 
     @tidy
@@ -36,8 +54,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
         seen: Counter[str] = Counter()
 
         def out():
-            words = [w for w in seen if len(w) <= WORD_CHARS]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in b.column(0):
@@ -51,91 +68,148 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size - 2).collect()]
 
 
-def word_ids(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, ids): each text as 16-bit word numbers in one binary."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
+def slices_of(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """Runs of rows of (doc_id, text, is_good): their ids, flags and lengths, the hashes of their distinct words, and each token's place among these."""
+    shared = None if words is None else docs.sparkSession.sparkContext.broadcast(frozenset(words))
+    names = ["doc_id", "good", "n", "words", "at", "tokens"]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        known = None if shared is None else shared.value
+        ids, good, n, tokens, chars = [], [], [], [], 0
+
+        def out():
+            place = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
+            at = np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens))
+            hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) if known is None or w in known else int(UNKNOWN) for w in place], np.uint64)
+            row = [pa.array(ids, pa.int64()), np.array(good, bool).tobytes(), np.array(n, np.int32).tobytes(), hashes.tobytes(), _pack(at), len(tokens)]
+            return pa.RecordBatch.from_arrays([pa.array([row[0].to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in row[1:5]), pa.array([row[5]], pa.int64())], names)
+
         for b in batches:
-            ids = []
-            for t in b.column(1):
-                found = list(map(get, (t.as_py() or "").split()))
-                ids.append(np.array([UNKNOWN if x is None else x for x in found], np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i, t, g in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                text = t.as_py() or ""
+                found = text.split()
+                ids.append(i)
+                good.append(g)
+                n.append(len(found))
+                tokens += found
+                chars += len(text) + 100
+                if chars > SLICE_CHARS:
+                    yield out()
+                    ids, good, n, tokens, chars = [], [], [], [], 0
+        if ids:
+            yield out()
+
+    return docs.mapInArrow(run, "doc_id array<long>, good binary, n binary, words binary, at binary, tokens long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
+def _slice(row: dict) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, list[np.ndarray]]]]:
+    """Lengths and flags of a slice's texts; by kind of n-gram the distinct hashes, and each token's places among them."""
+    n, words, at = np.frombuffer(row["n"], np.int32).astype(np.int64), np.frombuffer(row["words"], np.uint64), _unpack(row["at"], np.int32)
+    start = (np.cumsum(n) - n)[n > 0]
+    keys, place = np.unique(np.append(words, START), return_inverse=True)
+    word = place[at]
+    previous = np.roll(word, 1)
+    previous[start] = place[-1]
+    pair, both = np.unique(mix(mix(keys[previous]) + keys[word]), return_inverse=True)
+    return n, np.frombuffer(row["good"], bool), [(pair, [both]), (keys, [word, previous])]
 
-def _pairs(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(previous, word) codes of all texts of a batch, and the number of words of each."""
-    data, offs = utf8(col)
-    cur = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
-    offs = offs // 2
-    prev = np.empty_like(cur)
-    prev[1:] = cur[:-1]
-    n = np.diff(offs)
-    prev[offs[:-1][n > 0]] = START
-    return prev * size + cur, n
 
+def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds in sorted hashes of the stretches that belong to each of ``parts`` partitions."""
+    return np.searchsorted(hashes, np.array([(p << 64) // parts for p in range(1, parts)], np.uint64))
 
-def pair_counts(ids: DataFrame, good: DataFrame, size: int) -> DataFrame:
-    """(code, background, target): how often each pair occurs in all texts and in the good ones."""
-    marked = ids.join(good.withColumn("is_good", F.lit(True)), "doc_id", "left").select("ids", F.coalesce("is_good", F.lit(False)).alias("is_good"))
 
+def _ask(parts: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), np.int64)
         for b in batches:
-            code, n = _pairs(b.column(0), size)
-            flag = np.repeat(b.column(1).to_numpy(zero_copy_only=False), n)
-            total[0] += np.bincount(code, minlength=size * size)
-            total[1] += np.bincount(code[flag], minlength=size * size)
-        at = np.nonzero(total[0])[0]
-        for k in range(0, len(at), 100_000):
-            c = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(total[0][c]), pa.array(total[1][c])], ["code", "background", "target"])
-
-    return marked.mapInArrow(run, "code int, background long, target long").groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(code: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """-log p(word | previous) for every cell: bigram counts smoothed by unigram counts, add-one at the bottom."""
-    cells = np.zeros(size * size, np.float64)
-    cells[code] = count
-    cells = cells.reshape(size, size)
-    word = cells.sum(0)
-    unigram = (word + 1) / (word.sum() + size)
-    return -np.log((cells + BACKOFF * unigram) / (cells.sum(1, keepdims=True) + BACKOFF)).astype(np.float32).ravel()
-
-
-def score(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                n, good, grams = _slice(row)
+                flag = np.repeat(good, n)
+                out: list[tuple] = []
+                for kind, (key, places) in enumerate(grams):
+                    count = [np.stack([np.bincount(at[f], minlength=len(key)) for at in places]).astype(np.int32) for f in (slice(None), flag)]
+                    bounds = [0, *_cuts(key, parts), len(key)]
+                    out += [(p, kind, row["slice"], _pack(key[x:y]), _pack(count[0][:, x:y]), _pack(count[1][:, x:y])) for p, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
+                if out:
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "kind", "slice", "keys", "background", "target"])
+
+    return run
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Counts over all slices of one partition's n-grams of one kind; the first row has also how many there are."""
+    part, kind = asked["part"][0].as_py(), asked["kind"][0].as_py()
+    lengths = np.array([len(k.as_py()) // 8 for k in asked["keys"]], np.int64)
+    keys, at = np.unique(np.concatenate([_unpack(k.as_py(), np.uint64) for k in asked["keys"]]), return_inverse=True)
+    ends, got = np.cumsum(lengths), []
+    for c in ("background", "target"):
+        own = np.concatenate([_unpack(x.as_py(), np.int32).reshape(1 + kind, -1) for x in asked[c]], axis=1)
+        count = np.stack([np.bincount(at, x, len(keys)).astype(np.int64)[at] for x in own])
+        got.append(pa.array([_pack(count[:, e - k : e]) for e, k in zip(ends, lengths)], pa.binary()))
+    distinct = [len(keys) - int(kind == WORD and START in keys)] + [0] * (len(lengths) - 1)
+    return pa.table([pa.array([part] * len(lengths), pa.int32()), pa.array([kind] * len(lengths), pa.int32()), asked["slice"], *got, pa.array(distinct, pa.int64())], schema=pa.schema(ANSWER))
+
+
+ANSWER = [("part", pa.int32()), ("kind", pa.int32()), ("slice", pa.int64()), ("background", pa.binary()), ("target", pa.binary()), ("distinct", pa.int64())]
+
+
+def _score(tokens: tuple[int, int], size: int):
+    """Scores of a slice's texts from its counts. tokens: of the background and the target; size: of the vocabulary."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+        row = left.to_pylist()[0]
+        n, _, grams = _slice(row)
+        right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kinds = right["kind"].to_numpy()
+        means = []
+        for name, total in zip(("background", "target"), tokens):
+            raw = right[name].to_pylist()
+            count = []
+            for k, (_, places) in enumerate(grams):
+                own = np.concatenate([np.zeros((1 + k, 0), np.int64), *(_unpack(raw[i], np.int64).reshape(1 + k, -1) for i in np.flatnonzero(kinds == k))], axis=1)
+                count += [c[at] for c, at in zip(own, places)]
+            pair, word, previous = count
+            loss = -np.log((pair + BACKOFF * ((word + 1) / (total + size))) / (previous + BACKOFF))
+            sums, ends = np.concatenate([[0.0], np.cumsum(loss)]), np.cumsum(n)
+            means.append((sums[ends] - sums[ends - n]) / np.maximum(n, 1))
+        return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(n), pa.array(means[1]), pa.array(means[0]), pa.array(means[0] - means[1])], schema=schema)
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every whole text.
 
     Losses are nats per token; score = background_loss - target_loss.  Null and empty
     texts have no token, losses 0 and score 0.  Labels other than a single quality of 1
     teach nothing; null ids are scored and count in the background; repeated rows count
-    each time; other columns are ignored.
+    each time; other columns are ignored.  ``size`` is the vocabulary's with the start and
+    the unknown word: all words where none is stated.
     """
     docs = id_and_text(docs)
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = 1 and b = 1").select("doc_id")
-    ids = write_shared(word_ids(docs, vocabulary(docs, size)), "lm-ids")
-    # at most size * size rows of three numbers: a proven bound
-    got = pair_counts(ids, good, size).toArrow()
-    code = got["code"].to_numpy()
-    model = np.stack([losses(code, got[c].to_numpy(), size) for c in ("target", "background")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss = shared.value
-        for b in batches:
-            pair, n = _pairs(b.column(1), size)
-            sums = np.zeros((2, len(pair) + 1))
-            np.cumsum(loss[:, pair], axis=1, out=sums[:, 1:], dtype=np.float64)
-            ends = np.cumsum(n)
-            t, g = (sums[:, ends] - sums[:, ends - n]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(t), pa.array(g), pa.array(g - t)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    spark = docs.sparkSession
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = 1 and b = 1").select("doc_id", F.lit(True).alias("is_good"))
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = docs.join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
+    packed = slices_of(marked, None if size is None else vocabulary(docs, size))
+    slices = write_shared(packed.withColumn("slice", F.monotonically_increasing_id()), "lm-slices")
+    n = slices.agg(F.sum("tokens")).first()[0] or 0
+    parts = max(1, -(-n // PART_TOKENS))
+    asked = slices.mapInArrow(_ask(parts), "part int, kind int, slice long, keys binary, background binary, target binary")
+    counts = write_shared(asked.groupBy("part", "kind").applyInArrow(_answer, "part int, kind int, slice long, background binary, target binary, distinct long"), "lm-counts")
+    words = counts.where(F.col("kind") == WORD).agg(F.sum("distinct")).first()[0] or 0
+    taught = slices.select("good", "n").mapInArrow(_taught, "tokens long").agg(F.sum("tokens")).first()[0] or 0
+    run = _score((n, taught), words + 2 if size is None else size)
+    return slices.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of good texts."""
+    for b in batches:
+        got = sum(int(np.frombuffer(n.as_py(), np.int32)[np.frombuffer(g.as_py(), bool)].sum(dtype=np.int64)) for g, n in zip(b.column(0), b.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array([got], pa.int64())], ["tokens"])

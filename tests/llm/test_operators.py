@@ -463,3 +463,30 @@ def test_lm_separates_and_edges(spark, labels, odd):
     edge = lm_score.score(odd, labels)
     assert edge.count() == odd.count() and edge.where("n_tokens = 0 and score <> 0").count() == 0
     assert lm_score.score(odd.limit(0), labels.limit(0)).count() == 0
+
+
+def test_lm_models_every_word(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 120").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, "w" * 70 + " rare " + "w" * 70), (901, "")], docs.schema))
+    good = {i for i in range(0, 120, 3)} | {900}
+    rows = texts(docs)
+    cells = [collections.Counter(), collections.Counter()]
+    for i, t in rows:
+        for pair in zip([None, *t.split()], t.split()):
+            cells[0][pair] += i in good
+            cells[1][pair] += 1
+    size = len({w for _, w in cells[1]}) + 2
+    assert size > 1024
+    word, previous = ([collections.Counter() for _ in cells] for _ in range(2))
+    for m, c in enumerate(cells):
+        for (p, w), k in c.items():
+            word[m][w] += k
+            previous[m][p] += k
+    total = [sum(c.values()) for c in cells]
+    got = {r.doc_id: r for r in lm_score.score(docs, spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")).collect()}
+    for i, t in rows:
+        loss = [0.0, 0.0]
+        for m, c in enumerate(cells):
+            terms = [-np.log((c[p, w] + 20 * (word[m][w] + 1) / (total[m] + size)) / (previous[m][p] + 20)) for p, w in zip([None, *t.split()][: len(t.split())], t.split())]
+            loss[m] = np.mean(terms) if terms else 0.0
+        assert got[i].n_tokens == len(t.split()) and abs(got[i].target_loss - loss[0]) < 1e-9 and abs(got[i].background_loss - loss[1]) < 1e-9
