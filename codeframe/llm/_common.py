@@ -13,7 +13,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kernels work on slices of about this many bytes of text, so that their
@@ -24,31 +24,62 @@ SLICE_BYTES = 1 << 21
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test session) a folder of our own
-    is made, and the session is told of it.
+    Only a local session that names none (as in tests) gets a folder of its own; on a
+    cluster a folder of one machine would lose rows, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codeframe-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+#: Folders of tables written so far that nobody has dropped.
+_written: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_shared(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here.
 
-    Unlike ``localCheckpoint`` the rows survive the loss of any executor.
+    Unlike ``localCheckpoint`` the rows survive the loss of any executor.  The table goes
+    when the application ends, or when ``drop_written`` is told that nobody reads it.
+    ``rows_per_file`` bounds the files of tables whose rows are big.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many shared tables there are; a mark for ``drop_written``."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int, upto: int) -> None:
+    """Remove the tables written between two marks; their place in the list stays, so marks stay good."""
+    for k in range(since, min(upto, len(_written))):
+        if _written[k]:
+            fs, p = _file_system(spark, _written[k])
+            fs.delete(p, True)
+            fs.cancelDeleteOnExit(p)
+            _written[k] = ""
+
+
 def tidy(run: Callable) -> Callable:
     """Give a task's freed memory back to the system at its end: workers are reused, and would keep it."""
 
@@ -78,9 +109,32 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def text_hash(text: str = "text"):
-    """32 bits that tell rows of one id but different text apart."""
-    return F.crc32(F.col(text).cast("binary")).alias("kt")
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """128 bits, k1 and k2, that name a row by its id (or the want of one) and its whole text.
+
+    Two rows share them only if both are equal; any two such rows are interchangeable.
+    """
+    name = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(seed), name.isNull(), name, text).alias(f"k{i}") for i, seed in ((1, 0x2545F491), (2, 0x7F4A7C15))]
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, spread: str, n: int | None = None, least: int = 1_000_000) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each ``key`` and its rows in ``left`` as ``hits``.
+
+    Rows of a key with very many of them are spread over tasks by ``spread``, and the other
+    side's one row is repeated for each part.  Fewer than 10,000 keys can be so hot, as each
+    has over a ten-thousandth of all rows (``n``, counted if not given); only these are broadcast.
+    """
+    n = (right.agg(F.sum("hits")).first()[0] or 0) if n is None else n
+    limit = max(least, n // 10_000)
+    if n <= limit or right.where(F.col("hits") > limit).isEmpty():
+        return left.join(right.drop("hits"), key)
+    hot = right.where(F.col("hits") > limit).select(key, F.ceil(F.col("hits") / limit).cast("int").alias("__parts"))
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(5), spread), F.col("__parts")).cast("int"))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    parts = F.sequence(F.lit(0), F.when(F.col("hits") > limit, F.ceil(F.col("hits") / limit).cast("int") - 1).otherwise(0))
+    return a.join(right.withColumn("__part", F.explode(parts)).drop("hits"), [key, "__part"]).drop("__part")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -48,7 +48,8 @@ def _hash(seed: int, turn: Column, doc_id: Column, kt: Column) -> Column:
 
 
 def _kt(text: Column) -> Column:
-    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    """64 bits of the text; they only order rows of one id, so two texts that shared them would merely be drawn alike."""
+    return F.xxhash64(F.lit(3), F.coalesce(text.cast("string"), F.lit("")))
 
 
 def exponent(totals: DataFrame, target: Target, tokens: int, budget: int) -> float:

@@ -1,12 +1,12 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A fingerprint is a majority vote over the XXH64 of all word shingles.  Candidates
-come from an exact cover: the 64 bits are cut into six blocks, two fingerprints
-that differ in at most four bits agree on at least two whole blocks, so each of
-the 15 pairs of blocks is a key.  Fingerprints of a key are compared by bit planes
-stored vertically: one word holds one bit of 64 fingerprints, carry-save counters
-add up the differing planes, and a block of 64 is left as soon as every distance
-in it is beyond the radius.  No link is missed.
+come from an exact cover: the 64 bits are cut into b blocks (5 to 9, more for more
+fingerprints, so that a key has about 64 at most), two fingerprints that differ in at
+most four bits agree on at least b - 4 whole blocks, so each choice of b - 4 blocks is a
+key.  All comparisons are bit-sliced: bit planes are stored vertically, one word holds
+one bit of 64 fingerprints, carry-save counters add up the differing planes, and a block
+of 64 distances is left as soon as every one in it is beyond the radius.  No link is missed.
 
 Equal fingerprints are one vertex.  A key with more than ``BLOCK`` fingerprints is
 cut into blocks, and each pair of blocks is its own group, so no task holds an
@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text, text_hash, tidy, write_shared
+from codeframe.llm._common import id_and_text, row_key, salted, tidy, write_shared
 from codeframe.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: (first bit, bits) of six blocks; any two of them make a key of 20 to 22 bits.
-CUTS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: Fingerprints of one key, about, that the number of blocks is chosen for.
+LOAD = 64
 #: Fingerprints that one group compares, at most; larger keys are cut into blocks of this many.
 BLOCK = 4096
 _U = np.uint64
@@ -53,15 +53,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, kt, fp): fp as a signed long; kt tells rows of one id but different text apart."""
+    """(doc_id, k1, k2, fp): fp as a signed long; k1 and k2 name the row (see ``row_key``)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py() or "", size) for t in b.column(2)], _U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "kt", "fp"])
+            fp = np.array([fingerprint(t.as_py() or "", size) for t in b.column(3)], _U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp)], ["doc_id", "k1", "k2", "fp"])
 
-    return id_and_text(docs).select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, kt long, fp long")
+    return id_and_text(docs).select("doc_id", *row_key(), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -72,52 +72,90 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(_U)
 
 
+_FULL = ~_U(0)
+
+
+def sliced(plane, places: list[np.ndarray], dead: np.ndarray, radius: int = RADIUS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Blocks of 64 distances: where they are, for those with one within ``radius``, and a word that flags these.
+
+    ``plane(bit, *places)`` is the word of each block that flags the distances in which the bit
+    differs; ``dead`` flags what is no pair.  A block is dropped as soon as all in it are dead.
+    """
+    count = [np.zeros_like(dead) for _ in range(int(radius).bit_length() + 1)]
+    for bit in range(64):
+        carry = plane(bit, *places)
+        for c in range(len(count)):  # carry-save: the counters are planes too
+            count[c], carry = count[c] ^ carry, count[c] & carry
+        dead = dead | carry  # beyond what the counters hold
+        if bit % 8 == 7:
+            dead |= over(count, radius)
+            alive = dead != _FULL
+            if not alive.all():
+                places, dead, count = [p[alive] for p in places], dead[alive], [c[alive] for c in count]
+                if not len(dead):
+                    break
+    return places, ~dead
+
+
+def _flagged(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of which word, and at which bit, each flag is."""
+    return np.nonzero(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j), i in a and j in b, at distance at most ``radius`` (i < j within a, if b is None)."""
     planes = planes_of(a if b is None else b)
     n, width = len(a if b is None else b), planes.shape[1]
-    depth = int(radius).bit_length() + 1
-    out_i, out_j = [], []
-    full = ~_U(0)
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, (1 << 16) // width)
     for lo in range(0, len(a), step):
         q = a[lo : lo + step]
-        # dead: not a pair to report, or already beyond the radius
+        mine = np.stack([-(q >> _U(bit) & _U(1)) for bit in range(64)])
         dead = np.zeros((len(q), width), _U)
         if n % 64:
-            dead[:, -1] = full << _U(n % 64)
+            dead[:, -1] = _FULL << _U(n % 64)
         if b is None:
             for r in range(len(q)):
                 k = lo + r + 1
-                dead[r, : k // 64] = full
+                dead[r, : k // 64] = _FULL
                 if k % 64:
-                    dead[r, k // 64] |= full >> _U(64 - k % 64)
-        rows = np.arange(lo, lo + len(q))
-        count = [np.zeros_like(dead) for _ in range(depth)]
-        for bit in range(64):
-            carry = planes[bit][None, :] ^ (-(q >> _U(bit) & _U(1)))[:, None]
-            for c in range(depth):
-                count[c], carry = count[c] ^ carry, count[c] & carry
-            dead |= carry  # beyond what the counters hold
-            if bit % 8 == 7:
-                dead |= over(count, radius)
-                alive = (dead != full).any(1)
-                if not alive.all():
-                    if not alive.any():
-                        rows = rows[:0]
-                        break
-                    rows, q, dead = rows[alive], q[alive], dead[alive]
-                    count = [c[alive] for c in count]
-        if len(rows):
-            left = np.unpackbits((~dead).view(np.uint8), axis=1, bitorder="little")
-            i, j = np.nonzero(left)
-            out_i.append(rows[i])
-            out_j.append(j)
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    dead[r, k // 64] |= _FULL >> _U(64 - k % 64)
+        row, word = np.nonzero(dead != _FULL)
+        (row, word), left = sliced(lambda bit, r, w: planes[bit][w] ^ mine[bit][r], [row, word], dead[row, word], radius)  # noqa: B023
+        k, j = _flagged(left)
+        out_i.append(lo + row[k])
+        out_j.append(word[k] * 64 + j)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def pairs_in_runs(fps: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs at distance at most ``radius`` within runs (ascending numbers), all runs at once.
+
+    Fingerprints of many runs share planes: those d places apart are compared by shifting a
+    plane against itself; blocks without two of one run are dropped before.
+    """
+    longest = int(np.bincount(run - run[0]).max()) if len(run) else 0
+    planes = np.pad(planes_of(fps), ((0, 0), (0, longest // 64 + 2)))
+    out_i, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, longest):
+        pair = np.zeros((len(fps) + 63) // 64 * 64, np.uint8)
+        pair[: len(fps) - d] = run[:-d] == run[d:]
+        alive = np.packbits(pair, bitorder="little").view(_U)
+        at = np.nonzero(alive)[0]
+        up, down = _U(d % 64), _U(-d % 64)
+
+        def plane(bit, w, far=d // 64, up=up, down=down):
+            p = planes[bit]
+            return p[w] ^ (p[w + far] >> up | (p[w + far + 1] << down if up else _U(0)))
+
+        (at,), left = sliced(plane, [at], ~alive[at], radius)
+        k, j = _flagged(left)
+        out_i.append(at[k] * 64 + j)
+        out_d.append(np.full(len(k), d))
+    i = np.concatenate(out_i)
+    return i, i + np.concatenate(out_d)
+
+
 def over(count: list[np.ndarray], radius: int) -> np.ndarray:
     """Where the bit-sliced counters exceed ``radius``."""
     more, same = np.zeros_like(count[0]), ~np.zeros_like(count[0])
@@ -149,20 +187,31 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return keep
 
 
-def keys_of(fp: Column) -> Column:
-    """The 15 keys of a fingerprint: pair number in the high bits, then the bits of both blocks."""
-    part = lambda c: F.shiftrightunsigned(fp, c[0]).bitwiseAND((1 << c[1]) - 1)
-    return F.array(*(F.lit(k << 22).cast("long") + part(x) * (1 << y[1]) + part(y) for k, (x, y) in enumerate(combinations(CUTS, 2))))
+def blocks_for(n: int) -> int:
+    """How many blocks the bits are cut into, so that ``n`` random fingerprints leave about LOAD to a key."""
+    return next((b for b in range(RADIUS + 1, RADIUS + 5) if n >> (b - RADIUS) * (64 // b) <= LOAD), RADIUS + 5)
+
+
+def keys_of(fp: Column, blocks: int) -> Column:
+    """The keys of a fingerprint: number of the choice in the high bits, then the bits of the chosen blocks."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    cuts = list(zip(ends, ends[1:]))
+    keys = []
+    for k, chosen in enumerate(combinations(cuts, blocks - RADIUS)):
+        bits = F.lit(0).cast("long")
+        for lo, hi in chosen:
+            bits = F.shiftleft(bits, hi - lo).bitwiseOR(F.shiftrightunsigned(fp, lo).bitwiseAND((1 << hi - lo) - 1))
+        keys.append(bits.bitwiseOR(F.lit(k << 48).cast("long")))
+    return F.array(*keys)
 
 
-#: In sorted runs up to this length all pairs are compared directly, many runs at once.
-SHORT = 32
+#: Runs up to this length share planes, many at once; longer ones have planes of their own.  Rows that are compared together, at least.
+SHARED, HELD_ROWS = 256, 1 << 18
 
 
 @tidy
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of (key, i, j) in sorted order; side 0 holds block i, side 1 block j (all is side 0 where i = j)."""
-    rest: dict[str, np.ndarray] | None = None
     names = ["key", "i", "j", "side", "fp"]
 
     def solve(g: dict[str, np.ndarray]):
@@ -174,17 +223,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (g["key"][1:] != g["key"][:-1]) | (g["i"][1:] != g["i"][:-1]) | (g["j"][1:] != g["j"][:-1])
         starts = np.nonzero(new)[0]
         size = np.diff(np.append(starts, n))
-        run, long = np.repeat(np.arange(len(starts)), size), size > SHORT
-        simple = ~np.repeat(long | (g["i"][starts] != g["j"][starts]), size)
-        ui, vi = [], []
-        for d in range(1, min(SHORT, int(size.max()))):
-            p = np.nonzero((run[:-d] == run[d:]) & simple[:-d])[0]
-            if not len(p):
-                break
-            p = p[np.bitwise_count(fp[p] ^ fp[p + d]) <= RADIUS]
-            ui.append(p)
-            vi.append(p + d)
-        for s, e in zip(starts[~simple[starts]].tolist(), (starts + size)[~simple[starts]].tolist()):
+        shared = (size > 1) & (size <= SHARED) & (g["i"][starts] == g["j"][starts])
+        at = np.nonzero(np.repeat(shared, size))[0]
+        i, j = pairs_in_runs(fp[at], np.repeat(np.arange(len(starts)), size)[at])
+        ui, vi = [at[i]], [at[j]]
+        own = ~shared & (size > 1)
+        for s, e in zip(starts[own].tolist(), (starts + size)[own].tolist()):
             if g["i"][s] == g["j"][s]:
                 i, j = near_pairs(fp[s:e], None)
                 i, j = i + s, j + s
@@ -192,32 +236,39 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = s + int(np.searchsorted(g["side"][s:e], 1))
                 i, j = near_pairs(fp[s:m], fp[m:e]) if s < m < e else (np.zeros(0, np.int64),) * 2
                 i, j = i + s, j + m
-            k = forest(e - s, i - s, j - s)
-            ui.append(i[k])
-            vi.append(j[k])
-        if ui and sum(map(len, ui)):
-            u, v = np.concatenate(ui), np.concatenate(vi)
-            yield pa.RecordBatch.from_arrays([pa.array(g["fp"][u]), pa.array(g["fp"][v])], ["u", "v"])
+            ui.append(i)
+            vi.append(j)
+        u, v = np.concatenate(ui), np.concatenate(vi)
+        keep = forest(n, u, v)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(g["fp"][u[keep]]), pa.array(g["fp"][v[keep]])], ["u", "v"])
+
+    parts: list[dict[str, np.ndarray]] = []
+    held = 0
+
+    def whole(last: bool):
+        nonlocal parts, held
+        g = {k: np.concatenate([p[k] for p in parts]) for k in names}
+        # the last group may go on in the next batch; it has at most two blocks
+        n = len(g["fp"])
+        cut = n if last else n - int(((g["key"] == g["key"][-1]) & (g["i"] == g["i"][-1]) & (g["j"] == g["j"][-1])).sum())
+        yield from solve({k: x[:cut] for k, x in g.items()})
+        parts, held = [{k: x[cut:] for k, x in g.items()}], n - cut
 
     for b in batches:
-        now = {k: b.column(c).to_numpy(zero_copy_only=False) for c, k in enumerate(names)}
-        if rest is not None:
-            now = {k: np.concatenate([rest[k], now[k]]) for k in names}
-        n = len(now["key"])
-        if n == 0:
-            continue
-        # the last group may go on in the next batch; it has at most two blocks
-        last = (now["key"] == now["key"][-1]) & (now["i"] == now["i"][-1]) & (now["j"] == now["j"][-1])
-        cut = n - int(last.sum())
-        yield from solve({k: x[:cut] for k, x in now.items()})
-        rest = {k: x[cut:].copy() for k, x in now.items()}
-    if rest is not None:
-        yield from solve(rest)
+        parts.append({k: b.column(c).to_numpy(zero_copy_only=False) for c, k in enumerate(names)})
+        held += b.num_rows
+        if held >= HELD_ROWS:
+            yield from whole(False)
+    if held:
+        yield from whole(True)
 
 
-def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def link(fps: DataFrame, block: int = BLOCK, blocks: int | None = None) -> DataFrame:
     """A spanning set of links (u, v) between distinct fingerprints (column fp) at most RADIUS bits apart."""
-    keyed = fps.select("fp").distinct().select("fp", F.explode(keys_of(F.col("fp"))).alias("key"))
+    fps = fps.select("fp").distinct()
+    blocks = blocks_for(fps.count()) if blocks is None else blocks
+    keyed = fps.select("fp", F.explode(keys_of(F.col("fp"), blocks)).alias("key"))
     # keys with more than a block: few, as each takes over ``block`` rows; Spark broadcasts them only if small
     hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     spread = keyed.join(hot, "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).otherwise(0))
@@ -228,13 +279,18 @@ def link(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_links, "u long, v long")
 
 
-def rows_with_component(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, kt, fp, component_id, rep_kt) per row of ``docs``; (component_id, rep_kt) names the one row to keep."""
-    rows = write_shared(fingerprints(docs), "fingerprints")
+def components_of(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of every fingerprint in ``rows``: hits (its rows), root, component_id, and k1 and k2 of the one row to keep of its component.
+
+    All but the joins to the root fold before they move, and these spread a giant component.
+    """
+    one = F.struct("doc_id", "k1", "k2")
+    each = rows.groupBy("fp").agg(F.count("*").alias("hits"), F.min(F.when(F.col("doc_id").isNotNull(), one)).alias("least"), F.min(one).alias("any"))
     roots = components(link(rows, block)).select(F.col("id").alias("fp"), "root")
-    joined = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "kt"))).alias("least"), F.min("kt").alias("any_kt"))
-    return joined.join(least, "root").select("doc_id", "kt", "fp", F.col("least.doc_id").alias("component_id"), F.coalesce("least.kt", "any_kt").alias("rep_kt"))
+    each = write_shared(each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
+    keep = F.coalesce(F.min("least"), F.min("any"))
+    reps = each.groupBy("root").agg(F.count("*").alias("hits"), F.min("least")["doc_id"].alias("component_id"), keep["k1"].alias("k1"), keep["k2"].alias("k2"))
+    return salted(each.select("fp", F.col("hits").alias("copies"), "root"), reps, "root", "fp").withColumnRenamed("copies", "hits")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -244,15 +300,19 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     are returned and link others, but name no component; one of nothing else has a null
     component_id.  Repeated rows are returned each; other columns are ignored.
     """
-    return rows_with_component(docs, block).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = write_shared(fingerprints(docs), "fingerprints")
+    found = write_shared(components_of(rows, block).select("fp", "hits", "component_id"), "simhash-components")
+    return salted(rows, found, "fp", "k1").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one row of each component, that of the least id."""
-    # plain equalities, a null id as a flag: rows stay where the join put them when repeats go
-    parts = lambda d, t: {"__cf_d": F.coalesce(d, F.lit(0)), "__cf_z": d.isNull(), "__cf_t": t}
-    keys = ["__cf_d", "__cf_z", "__cf_t"]
-    keep = rows_with_component(docs, block).select(*[c.alias(k) for k, c in parts(F.col("component_id"), F.col("rep_kt")).items()]).distinct()
-    text = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    kept = docs.withColumns(parts(F.col("doc_id").cast("long"), text)).join(keep, keys, "left_semi")
-    return kept.dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` without near-duplicates: one row of each component, that of the least id.
+
+    Rows are told apart by id and whole text (128 bits), so rows that share an id, or have
+    none, stay if they are no near-duplicates; of rows equal in both one stays.
+    """
+    rows = write_shared(fingerprints(docs), "fingerprints")
+    keep = components_of(rows, block).select(F.col("k1").alias("__cf_k1"), F.col("k2").alias("__cf_k2")).distinct()
+    k1, k2 = row_key()
+    kept = docs.withColumns({"__cf_k1": k1, "__cf_k2": k2}).join(keep, ["__cf_k1", "__cf_k2"], "left_semi")
+    return kept.dropDuplicates(["__cf_k1", "__cf_k2"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -4,48 +4,54 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts
 anywhere else.  Sorting every suffix of the corpus would move many times its size,
 so the array is sparse, and exact for strings of that length:
 
-1. *Anchors.*  In every stretch of LENGTH bytes the ``GRAM``-byte gram of least hash
+1. *Slices.*  Rows are packed into numbered slices of about ``SLICE`` bytes and written
+   once; a byte is known by its slice and its place there, whatever ids the rows have.
+2. *Anchors.*  In every stretch of LENGTH bytes the ``GRAM``-byte gram of least hash
    is its anchor.  Equal stretches have the same anchor at the same place, so only
    suffixes at anchors need sorting: about one in 63 bytes of prose.
-2. *Buckets.*  Anchors go to tasks by the hash of their gram.  Those whose whole
-   surroundings (all stretches with this anchor) are equal are repeats outright;
-   grams that occur once are done.  Equal surroundings within a batch are folded
-   before the shuffle, so thousands of copies reach a task as a few rows.
-3. *Deep-shallow sorting.*  For the grams that occur in different surroundings the
-   surroundings are fetched, and the suffixes from the anchor, and the reversed
-   prefixes before it, are sorted: multikey quicksort with 8-byte letters to a
-   shallow depth, then a blind trie for every group that is still tied.  The sorts
-   give longest common prefixes; a stretch that starts o bytes before the anchor
-   repeats if another one shares o bytes to the left and LENGTH - o to the right,
-   which are runs of both orders.
-
-Grams with over ``GROUP_ROWS`` surroundings do not go to one task: their stretches
-are hashed one by one and counted by a plain aggregation.
+3. *Buckets.*  Slices ask partitions of grams, by packed hashes, which of their anchors
+   occur elsewhere.  Those whose whole surroundings (all stretches with this anchor)
+   are equal are repeats outright; grams that occur once are done.
+4. *Deep-shallow sorting.*  For the grams that occur in different surroundings these are
+   sent, and the suffixes from the anchor, and the reversed prefixes before it, are
+   sorted: multikey quicksort with 8-byte letters to a shallow depth, then a blind trie
+   for every group that is still tied.  A stretch that starts o bytes before the anchor
+   repeats if another one shares o bytes to the left and LENGTH - o to the right, which
+   are runs of both orders.
+
+A gram with more than ``GROUP_ROWS`` surroundings is split by its next bytes: stretches
+that start within 21 neighbouring bytes have a core of 180 bytes in common, whose hash is
+the finer key, and the pieces are sorted in the same way.  What shares even a core more
+often than that is split down to whole stretches, which need no more sorting.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeframe.llm._common import id_and_text, slices, text_hash, tidy, utf8, write_shared
-from codeframe.llm._words import Hasher
+from codeframe.llm._common import id_and_text, salted, tidy, utf8, write_shared
+from codeframe.llm._words import Hasher, mix
 
 LENGTH, GRAM = 200, 40
-#: More surroundings of one gram than this are not sorted in one task.
+#: Bytes of text in a slice, about (one longer text is a slice of its own), and in a partition of grams.
+SLICE, PART_BYTES = 1 << 21, 1 << 24
+#: More surroundings than this of one key are split by their next bytes before they are sorted.
 GROUP_ROWS = 50_000
 #: Surroundings that are sorted together, and bytes that are scanned for anchors together.
 SORT_ROWS, SCAN_BYTES = 16_384, 1 << 20
 #: Depth of the multikey quicksort; longer common prefixes go to blind tries.
 SHALLOW_RIGHT, SHALLOW_LEFT = 64, 32
+#: Offsets of one key before splitting, after it, and after that.
+WIDTHS = (LENGTH - GRAM + 1, 21, 1)
 _U = np.uint64
 
 
@@ -98,134 +104,82 @@ def merge(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     return start[at], far[np.append(at[1:], len(start)) - 1], doc[at]
 
 
-ANCHOR_ROW = "kind int, kh long, ch long, doc_id long, kt long, s int, a int, e int, n int"
-FOUND_ROW = "kind int, kh long, doc_id long, kt long, s int, a int, e int, solo boolean, big boolean"
-_REPEAT, _ANCHOR, _ASK = 0, 1, 2
 
+def entries(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
+    """Anchors of a slice and their classes of equal surroundings, in an order that depends on the slice alone.
 
-def _batch(schema: str, **cols) -> pa.RecordBatch:
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(cols[k], kinds[x.split()[1]]) for k, x in zip(names, schema.split(", "))], names)
-
-
-#: Anchors that a task gathers before it folds the equal ones.
-FOLD_ROWS = 300_000
-
-
-@tidy
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input doc_id, kt, text.  Repeats inside a task's share are told at once and folded to one row that counts as two."""
-    names = ("kh", "ch", "doc_id", "kt", "row", "s", "a", "e")
-    rows: dict[str, list[np.ndarray]] = {k: [] for k in names}
-    held = seen = 0
-
-    def fold():
-        g = {k: np.concatenate(x) for k, x in rows.items()}
-        order = np.lexsort((g["ch"], g["kh"]))
-        kh, ch = g["kh"][order], g["ch"][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (kh[1:] != kh[:-1]) | (ch[1:] != ch[:-1])
-        size = np.diff(np.append(np.nonzero(new)[0], len(order)))
-        twice, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        twice[order] = np.repeat(size > 1, size)
-        first[order[new]] = True
-        at = np.nonzero(twice)[0]  # in the order of rows and positions
-        s, e, row = merge(g["s"][at], g["e"][at], g["row"][at])
-        if len(s):
-            own = at[np.searchsorted(g["row"][at], row)]
-            z = np.zeros(len(s), np.int64)
-            yield _batch(ANCHOR_ROW, kind=z, kh=g["kh"][own], ch=z, doc_id=g["doc_id"][own], kt=g["kt"][own], s=s, a=z, e=e, n=z)
-        one = {k: x[first] for k, x in g.items() if k != "row"}
-        yield _batch(ANCHOR_ROW, kind=np.full(int(first.sum()), _ANCHOR), n=1 + twice[first], **one)
-
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        kts = b.column(1).to_numpy(zero_copy_only=False)
-        for i, _, data, offs in slices(b.column(2)):
-            a, kh = anchors(data, offs)
-            if not len(a):
-                continue
-            doc = np.searchsorted(offs, a, side="right") - 1
-            s, e = np.maximum(offs[doc], a + GRAM - LENGTH), np.minimum(offs[doc + 1], a + LENGTH)
-            raw = data.tobytes()
-            ch = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(s.tolist(), e.tolist(), (a - s).tolist())), _U, len(a))
-            part = {"kh": kh.view(np.int64), "ch": ch.view(np.int64), "doc_id": ids[doc + i], "kt": kts[doc + i], "row": doc + i + seen, "s": s - offs[doc], "a": a - offs[doc], "e": e - offs[doc]}
-            for k in names:
-                rows[k].append(part[k])
-            held += len(a)
-            if held >= FOLD_ROWS:
-                yield from fold()
-                rows, held = {k: [] for k in names}, 0
-        seen += b.num_rows
-    if held:
-        yield from fold()
-
-
-def _bucket_rows(limit: int):
-    """Anchors of a bucket in order of (kh, ch): tell repeats, and ask for surroundings that differ."""
-    names = [x.split()[0] for x in ANCHOR_ROW.split(", ")]
-
-    def told(g, keep):
-        z = np.zeros(int(keep.sum()), np.int64)
-        return _batch(FOUND_ROW, kind=z, kh=g["kh"][keep], doc_id=g["doc_id"][keep], kt=g["kt"][keep], s=g["s"][keep], a=z, e=g["e"][keep], solo=z.astype(bool), big=z.astype(bool))
-
-    def solve(g, several: bool, big: bool):
-        """Whole classes; ``several``: the first gram is known to have more of them elsewhere."""
-        n = len(g["kh"])
-        if n == 0:
-            return
-        gram = np.ones(n, bool)
-        gram[1:] = g["kh"][1:] != g["kh"][:-1]
-        cls = gram.copy()
-        cls[1:] |= g["ch"][1:] != g["ch"][:-1]
-        c_at = np.nonzero(cls)[0]
-        size = np.add.reduceat(g["n"], c_at)
-        count = np.diff(np.append(c_at, n))
-        of_gram = np.cumsum(gram[c_at]) - 1
-        many = np.bincount(of_gram) > 1
-        many[0] |= several
-        repeat = np.repeat(size > 1, count)
-        if repeat.any():
-            yield told(g, repeat)
-        ask = c_at[many[of_gram]]
-        if len(ask):
-            solo = ~repeat[ask]
-            yield _batch(FOUND_ROW, kind=np.full(len(ask), _ASK), kh=g["kh"][ask], doc_id=g["doc_id"][ask], kt=g["kt"][ask], s=g["s"][ask], a=g["a"][ask], e=g["e"][ask], solo=solo, big=np.full(len(ask), big))
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, several, big = None, False, False
-        for b in batches:
-            now = {k: b.column(c).to_numpy(zero_copy_only=False) for c, k in enumerate(names)}
-            done = now["kind"] == _REPEAT
-            if done.any():
-                yield told(now, done)
-                now = {k: x[~done] for k, x in now.items()}
-            if rest is not None:
-                now = {k: np.concatenate([rest[k], now[k]]) for k in names}
-            n = len(now["kh"])
-            if n == 0:
-                continue
-            cut = int(np.searchsorted(now["kh"], now["kh"][-1]))
-            if cut > 0:  # all but the last gram are whole
-                yield from solve({k: x[:cut] for k, x in now.items()}, several, big)
-                now, several, big = {k: x[cut:] for k, x in now.items()}, False, False
-            if len(now["kh"]) > limit or big:
-                # one gram beyond the limit: hand over its whole classes, and fold the last one
-                big = True
-                cut = int(np.searchsorted(now["ch"], now["ch"][-1]))
-                if cut > 0:
-                    yield from solve({k: x[:cut] for k, x in now.items()}, True, True)
-                    now, several = {k: x[cut:] for k, x in now.items()}, True
-                if len(now["kh"]) > 1:
-                    yield told(now, np.ones(len(now["kh"]), bool))
-                    now = {k: x[:1] for k, x in now.items()} | {"n": np.full(1, 2, now["n"].dtype)}
-            rest = {k: x.copy() for k, x in now.items()}
-        if rest is not None and len(rest["kh"]):
-            yield from solve(rest, several, big)
-
-    return run
+    Per anchor: a, s, e (place, and bounds of its surroundings) and ``of``, its class; per class
+    its first anchor, kh and ch (hashes of gram and surroundings), and whether it has several.
+    """
+    a, kh = anchors(data, offs)
+    doc = np.searchsorted(offs, a, side="right") - 1
+    s, e = np.maximum(offs[doc], a + GRAM - LENGTH), np.minimum(offs[doc + 1], a + LENGTH)
+    raw = data.tobytes()
+    ch = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(s.tolist(), e.tolist(), (a - s).tolist())), _U, len(a))
+    order = np.lexsort((a, ch, kh))
+    new = np.ones(len(a), bool)
+    new[1:] = (kh[order][1:] != kh[order][:-1]) | (ch[order][1:] != ch[order][:-1])
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    return {"a": a, "s": s, "e": e, "of": of, "first": first, "kh": kh[first], "ch": ch[first], "several": np.bincount(of, minlength=len(first)) > 1}
+
+
+#: Flags of what a slice asks: the class has several anchors here; no class, only a mark that the gram has several; the gram is known to have several.
+_SEVERAL, _MARK, _MIXED = 1, 2, 4
+#: Answers: nothing else has the gram; all of the surroundings repeat; others have the gram in other surroundings; both, and this slice sends them.
+NOTHING, WHOLE, ALONE, SENDS = 0, 1, 2, 3
+
+
+def asks(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a slice asks, ordered by route: route, kh, ch, flags, and the class (-1: a mark).
+
+    A gram with one class here goes by its own hash, so a partition gets it once a slice.  One with
+    several may be hot: its classes are spread by both hashes, and a mark goes by the gram's.
+    """
+    kh, ch = c["kh"], c["ch"]
+    gram, which, count = np.unique(kh, return_inverse=True, return_counts=True)
+    mixed = count[which] > 1
+    marks = gram[count > 1]
+    route = np.concatenate([np.where(mixed, mix(kh ^ mix(ch + _U(1))), kh), marks])
+    flags = np.concatenate([c["several"] * _SEVERAL + mixed * _MIXED, np.full(len(marks), _MARK)]).astype(np.uint8)
+    order = np.argsort(route, kind="stable")
+    cls = np.concatenate([np.arange(len(kh)), np.full(len(marks), -1)])
+    return route[order], np.concatenate([kh, marks])[order], np.concatenate([ch, np.zeros(len(marks), _U)])[order], flags[order], cls[order]
+
+
+def _cuts(route: np.ndarray, parts: int) -> list[int]:
+    return [0, *np.searchsorted(route, np.array([(p << 64) // parts for p in range(1, parts)], _U)).tolist(), len(route)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes, then second bytes and so on: sorted hashes are compressed well so."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def answer(kh: np.ndarray, ch: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Answers to all that was asked of one partition, in the order of asking."""
+    n = len(kh)
+    order = np.lexsort((np.arange(n), ch, kh))
+    kh, ch, flags = kh[order], ch[order], flags[order]
+    gram = np.ones(n, bool)
+    gram[1:] = kh[1:] != kh[:-1]
+    cls = gram.copy()
+    cls[1:] |= ch[1:] != ch[:-1]
+    mark = flags & _MARK > 0
+    # a mark counts as several classes
+    of_gram, of_cls = np.cumsum(gram) - 1, np.cumsum(cls) - 1
+    kinds = np.bincount(of_gram, weights=cls & ~mark) + 2 * np.bincount(of_gram, weights=flags & (_MARK | _MIXED) > 0)
+    mixed = kinds[of_gram] > 1
+    rows = np.bincount(of_cls, weights=np.where(mark, 0, 1 + (flags & _SEVERAL > 0)))[of_cls]
+    got = np.where(rows > 1, np.where(mixed & cls, SENDS, WHOLE), np.where(mixed, ALONE, NOTHING))
+    out = np.empty(n, np.uint8)
+    out[order] = np.where(mark, NOTHING, got)
+    return out
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -273,6 +227,38 @@ class BlindTrie:
         return out
 
 
+
+def multikey_quicksort(words: np.ndarray, group: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of ``words`` within ``group`` (ascending) by their first ``letters``, and where segments of equal ones begin.
+
+    Every segment is cut in three by a pivot's letter: the less and the greater parts go on
+    with the same letter, the equal part with the next.  All segments take a step at once.
+    """
+    n = len(words)
+    order, depth = np.arange(n), np.zeros(n, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = group[1:] != group[:-1]
+    at = np.arange(n)
+    while True:
+        head = new[at]
+        size = np.diff(np.append(np.nonzero(head)[0], len(at)))
+        open_ = np.repeat(size > 1, size) & (depth[at] < letters)
+        at = at[open_]
+        if not len(at):
+            return order, new
+        first = np.nonzero(new[at])[0]
+        size = np.diff(np.append(first, len(at)))
+        letter = words[order[at], depth[at]]
+        pivot = np.repeat(letter[first + size // 2], size)
+        side = (letter >= pivot).astype(np.int64) + (letter > pivot)
+        key = np.repeat(np.arange(len(first)) * 3, size) + side
+        put = np.argsort(key, kind="stable")
+        order[at] = order[at][put]
+        key = key[put]
+        new[at[1:]] |= key[1:] != key[:-1]
+        depth[at] += key % 3 == 1
+
+
 def deep_shallow(rows: np.ndarray, lens: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort byte rows (padded with zeros, ``lens`` long) within ``group``, which ascends.
 
@@ -281,27 +267,7 @@ def deep_shallow(rows: np.ndarray, lens: np.ndarray, group: np.ndarray, shallow:
     """
     n, width = rows.shape
     words = np.ascontiguousarray(rows).view(">u8").astype(_U)
-    order = np.arange(n)
-    lcp = np.full(n, width, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = group[1:] != group[:-1]
-    lcp[new] = -1
-    for w in range(shallow // 8):  # multikey quicksort: all segments by their next letter at once
-        seg = np.cumsum(new) - 1
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.nonzero(tied)[0]
-        if not len(at):
-            break
-        letter = words[order[at], w]
-        put = np.lexsort((letter, seg[at]))
-        order[at] = order[at][put]
-        letter = letter[put]
-        differ = np.zeros(len(at), bool)
-        differ[1:] = (letter[1:] != letter[:-1]) & (seg[at][1:] == seg[at][:-1])
-        x = letter[differ] ^ np.roll(letter, 1)[differ]
-        lcp[at[differ]] = 8 * w + (64 - bits(x)) // 8
-        new[at[differ]] = True
+    order, new = multikey_quicksort(words, group, shallow // 8)
     starts = np.nonzero(new)[0]
     ends = np.append(starts[1:], n)
     deep = ends - starts > 1
@@ -315,18 +281,16 @@ def deep_shallow(rows: np.ndarray, lens: np.ndarray, group: np.ndarray, shallow:
         trie = BlindTrie(next(it))
         for x in it:
             trie.add(x)
-        at = s
-        for x, common in trie.in_order():
-            ids = same[x]
-            if len(ids) > 1:
-                ids = sorted(ids, key=lens.__getitem__)
-            order[at : at + len(ids)] = ids
-            if at > s:
-                lcp[at] = shallow + common
-            at += len(ids)
-    inner = lcp >= 0
+        order[s:e] = [r for x, _ in trie.in_order() for r in sorted(same[x], key=lens.__getitem__)]
+    lcp = np.full(n, -1, np.int64)
+    inner = np.nonzero(group[1:] == group[:-1])[0] + 1
+    x = words[order[inner]] ^ words[order[inner - 1]]
+    differ = x != 0
+    word = np.where(differ.any(1), differ.argmax(1), x.shape[1])
+    left = x[np.arange(len(inner)), np.minimum(word, x.shape[1] - 1)]
+    common = 8 * word + np.where(word < x.shape[1], (64 - bits(left)) // 8, 0)
     size = lens[order]
-    lcp[1:] = np.where(inner[1:], np.minimum(lcp[1:], np.minimum(size[1:], size[:-1])), -1)
+    lcp[inner] = np.minimum(common, np.minimum(size[inner], size[inner - 1]))
     return order, lcp
 
 
@@ -338,14 +302,14 @@ def bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def match(left: np.ndarray, left_len: np.ndarray, right: np.ndarray, right_len: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every surrounding the least and largest o such that the stretch from o bytes before the anchor repeats; -1: none."""
+def match(left: np.ndarray, left_len: np.ndarray, right: np.ndarray, right_len: np.ndarray, group: np.ndarray, first: int = 0, last: int = LENGTH - GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For every surrounding the least and largest o, of ``first`` to ``last``, such that the stretch from o bytes before the anchor repeats; -1: none."""
     n = len(group)
     lo, hi = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     r_order, r_lcp = deep_shallow(right, right_len, group, SHALLOW_RIGHT)
     l_order, l_lcp = deep_shallow(left, left_len, group, SHALLOW_LEFT)
     r_cls, l_cls = np.empty(n, np.int64), np.empty(n, np.int64)
-    for o in range(LENGTH - GRAM + 1):
+    for o in range(first, last + 1):
         r_new, l_new = r_lcp < LENGTH - o, l_lcp < o
         r_cls[r_order] = np.cumsum(r_new)
         # rows alone in a run of either order are done
@@ -367,199 +331,282 @@ def match(left: np.ndarray, left_len: np.ndarray, right: np.ndarray, right_len:
     return lo, hi
 
 
-AROUND_ROW = "kh long, doc_id long, kt long, a int, before int, solo boolean, around binary"
-SPAN_ROW = "doc_id long, kt long, s int, e int"
+#: Surroundings: key (k1, k2) and first offset that is judged, slice, place of the anchor, bytes before it, whether an answer is wanted.
+AROUND_ROW = "k1 long, k2 long, first int, slice long, a long, before int, alone boolean, around binary"
+SPAN_ROW = "slice long, s long, e long"
 
 
-@tidy
-def _match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings in order of kh: whole grams are gathered to SORT_ROWS and matched together."""
-    names = [x.split()[0] for x in AROUND_ROW.split(", ")]
-    parts: list[pa.RecordBatch] = []
+def _batch(schema: str, **cols) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(cols[k], kinds[x.split()[1]]) for k, x in zip(names, schema.split(", "))], names)
 
-    def solve(t: pa.Table):
-        g = {k: t[k].combine_chunks().to_numpy(zero_copy_only=False) for k in names[:-1]}
-        # a repeated row of documents brings its surroundings again
-        again = np.zeros(len(g["kh"]), bool)
-        again[1:] = np.logical_and.reduce([g[k][1:] == g[k][:-1] for k in ("kh", "doc_id", "kt", "a")])
+
+def _match_rows(width: int):
+    """Surroundings in order of their key: whole keys are gathered to SORT_ROWS and matched together."""
+
+    def solve(t: pa.Table, first: int):
+        g = {k: t[k].combine_chunks().to_numpy(zero_copy_only=False) for k in ("k1", "k2", "slice", "a", "before", "alone")}
         data, offs = utf8(t["around"])
-        keep = np.nonzero(~again)[0]
-        kh, before = g["kh"][keep], g["before"][keep].astype(np.int64)
-        start, size = offs[:-1][keep], np.diff(offs)[keep]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (g["k1"][1:] != g["k1"][:-1]) | (g["k2"][1:] != g["k2"][:-1])
+        group, before = np.cumsum(new), g["before"].astype(np.int64)
+        start, size = offs[:-1], np.diff(offs)
         padded = np.concatenate([data, np.zeros(2 * LENGTH, np.uint8)])
-        width_l = LENGTH - GRAM
         k = np.arange(LENGTH)
         right_len = size - before
         right = np.where(k < right_len[:, None], padded[np.minimum((start + before)[:, None] + k, len(padded) - 1)], 0).astype(np.uint8)
-        k = np.arange(width_l)
+        k = np.arange(LENGTH - GRAM)
         left = np.where(k < before[:, None], padded[np.maximum((start + before)[:, None] - 1 - k, 0)], 0).astype(np.uint8)
-        lo, hi = match(left, before, right, right_len, kh)
-        hit = np.nonzero((lo >= 0) & g["solo"][keep])[0]
+        lo, hi = match(left, before, right, right_len, group, first, min(first + width - 1, LENGTH - GRAM))
+        hit = np.nonzero((lo >= 0) & g["alone"])[0]
         if len(hit):
-            a = g["a"][keep][hit].astype(np.int64)
-            yield _batch(SPAN_ROW, doc_id=g["doc_id"][keep][hit], kt=g["kt"][keep][hit], s=a - hi[hit], e=a - lo[hit] + LENGTH)
+            yield _batch(SPAN_ROW, slice=g["slice"][hit], s=g["a"][hit] - hi[hit], e=g["a"][hit] - lo[hit] + LENGTH)
 
-    held = 0
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        parts.append(b)
-        held += b.num_rows
-        if held >= SORT_ROWS:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        held = 0
+
+        def whole(last: bool):
+            """Solve whole keys of what is held; the last key may go on."""
+            nonlocal parts, held
             t = pa.Table.from_batches(parts)
-            kh = t["kh"].to_numpy()
-            cut = int(np.searchsorted(kh, kh[-1]))
+            f, k1, k2 = (t[c].to_numpy() for c in ("first", "k1", "k2"))
+            new = np.ones(len(f), bool)
+            new[1:] = (f[1:] != f[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            ends = np.append(np.nonzero(new)[0][1:], len(f))
+            if not last:
+                ends = ends[:-1]
             done = 0
-            while done < cut:
-                # as many whole grams as make SORT_ROWS, one at least
-                to = min(cut, done + SORT_ROWS)
-                to = cut if to == cut else int(np.searchsorted(kh, kh[to])) if kh[to] != kh[done] else int(np.searchsorted(kh, kh[to], side="right"))
-                yield from solve(t.slice(done, to - done))
+            while len(ends) and done < ends[-1]:
+                # as many keys of one first offset as make SORT_ROWS, one at least
+                same = ends[(ends > done) & (f[ends - 1] == f[done])]
+                fit = same[same <= done + SORT_ROWS]
+                to = int(fit[-1] if len(fit) else same[0])
+                yield from solve(t.slice(done, to - done), int(f[done]))
                 done = to
-            parts = t.slice(cut).to_batches()
-            held = t.num_rows - cut
-    if held:
-        yield from solve(pa.Table.from_batches(parts))
+            parts, held = t.slice(done).to_batches(), t.num_rows - done
 
+        for b in batches:
+            if b.num_rows:
+                parts.append(b)
+                held += b.num_rows
+                if held >= SORT_ROWS:
+                    yield from whole(False)
+        if held:
+            yield from whole(True)
 
-# ---------------------------------------------------------------- the operator
+    return run
 
 
-def _packed(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """doc_id, kt, packed text and the extra columns as x0, x1, ...: what has to be shuffled, compressed."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kt", T.LongType()), T.StructField("packed", T.BinaryType()), *(T.StructField(f"x{i}", docs.schema[c].dataType) for i, c in enumerate(extra))])
+def _split(width: int):
+    """Surroundings to those of a finer key: the hash of what all stretches from ``width`` neighbouring offsets have in common."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            packed = pa.array([pack((t.as_py() or "").encode()) for t in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed, *b.columns[3:]], schema.names)
+            out: dict[str, list] = {x.split()[0]: [] for x in AROUND_ROW.split(", ")}
+            for r in b.to_pylist():
+                text, before = r["around"], r["before"]
+                end = min(r["first"] + WIDTHS[WIDTHS.index(width) - 1], LENGTH - GRAM + 1)
+                for first in range(r["first"], end, width):
+                    last = min(first + width, end) - 1
+                    if before < first or len(text) - before < LENGTH - last:
+                        continue
+                    h = xxhash.xxh3_128_intdigest(text[before - first : before + LENGTH - last])
+                    for k, v in (r | {"k1": (h >> 64) - (1 << 63), "k2": (h & (1 << 64) - 1) - (1 << 63), "first": first}).items():
+                        out[k].append(v)
+            yield _batch(AROUND_ROW, **out)
+
+    return run
+
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = [F.col("doc_id").cast("long").alias("_d"), F.crc32(text.cast("binary")).alias("_k"), text.alias("_t")]
-    return docs.select(*key, *(F.col(f"`{c}`") for c in extra)).mapInArrow(run, schema)
+def matched_spans(near: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Spans of the rows of ``near`` that want an answer; hot keys are split by their next bytes and sorted again."""
+    key = ["first", "k1", "k2"]
+    out = None
+    for level, width in enumerate(WIDTHS[:-1]):
+        sizes = near.groupBy(*key).agg(F.count("*").alias("hits"))
+        limit = max(group_rows, (near.count() if group_rows == GROUP_ROWS else 0) // 1_000_000)
+        big = sizes.where(F.col("hits") > limit).select(*key)  # a million keys at most
+        some = not big.isEmpty()
+        small = near.join(F.broadcast(big), key, "left_anti") if some else near
+        got = small.repartition(*key).sortWithinPartitions(*key, "slice", "a").mapInArrow(_match_rows(width), SPAN_ROW)
+        out = got if out is None else out.unionByName(got)
+        if not some:
+            return out
+        near = write_shared(near.join(F.broadcast(big), key, "left_semi").select(*(x.split()[0] for x in AROUND_ROW.split(", "))).mapInArrow(_split(WIDTHS[level + 1]), AROUND_ROW), "dedup-split")
+    # keys are whole stretches now: two rows of one are repeats
+    twice = near.groupBy("first", "k1", "k2").agg(F.count("*").alias("hits")).where("hits > 1")
+    name = F.concat_ws(":", *key)
+    hit = salted(near.where("alone").select(name.alias("key"), "slice", "a", "first"), twice.select(name.alias("key"), "hits"), "key", "a")
+    s = F.col("a") - F.col("first")
+    return out.unionByName(hit.select("slice", s.alias("s"), (s + LENGTH).alias("e")))
 
 
-def _same(a: DataFrame, b: DataFrame):
-    """Rows of a and keys of b; a null id has the key 0, and one of equal id and text has the same spans anyhow."""
-    return (F.coalesce(a["doc_id"], F.lit(0)) == b["doc_id"]) & (a["kt"] == b["kt"])
+# ---------------------------------------------------------------- the operator
 
 
-def _around(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """The surroundings that were asked for."""
-    per_doc = asked.groupBy("doc_id", "kt").agg(F.collect_list(F.struct("kh", "s", "a", "e", "solo")).alias("asks"))
-    packed = _packed(docs, [])
-    joined = packed.join(per_doc, _same(packed, per_doc)).select(per_doc["doc_id"], per_doc["kt"], "packed", "asks")
+def _slices(docs: DataFrame) -> DataFrame:
+    """Numbered runs of rows as compressed Arrow tables: slice, bytes (of text), rows."""
+    at = docs.columns.index("text")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        parts: list[pa.RecordBatch] = []
+        held = 0
+
+        def out():
+            t = pa.Table.from_batches(parts).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
+                w.write_table(t)
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bytes", "rows"])
+
         for b in batches:
-            out: dict[str, list] = {x.split()[0]: [] for x in AROUND_ROW.split(", ")}
-            held = 0
-            for d, k, p, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                text = unpack(p.as_py())
-                for q in asks.as_py():
-                    for name, v in (("kh", q["kh"]), ("doc_id", d), ("kt", k), ("a", q["a"]), ("before", q["a"] - q["s"]), ("solo", q["solo"]), ("around", text[q["s"] : q["e"]])):
-                        out[name].append(v)
-                    held += 1
-                if held > 20_000:
-                    yield _batch(AROUND_ROW, **out)
-                    out, held = {x: [] for x in out}, 0
-            if held:
-                yield _batch(AROUND_ROW, **out)
-
-    return joined.mapInArrow(run, AROUND_ROW)
-
-
-def _counted(around: DataFrame) -> DataFrame:
-    """Grams with too many surroundings for a task: count hashes of all their stretches."""
-    schema = "kh long, o int, h1 long, h2 long, doc_id long, kt long, a int, solo boolean"
+            _, offs = utf8(b.column(at))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE - held, side="right")) - 1)
+                parts.append(b.slice(i, j - i))
+                held += int(offs[j] - offs[i])
+                i = j
+                if held >= SLICE or i < b.num_rows:
+                    yield out()
+                    parts, held = [], 0
+        if parts:
+            yield out()
+
+    rows = docs.mapInArrow(run, "bytes long, rows binary").withColumn("slice", F.monotonically_increasing_id())
+    return write_shared(rows, "dedup-slices", 32)
+
+
+def _text(raw: bytes, at: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a slice, and the bytes and offsets of their texts."""
+    t = pa.ipc.open_stream(raw).read_all()
+    return t, *utf8(t.column(at))
+
+
+def _ask(parts: int, at: int):
+    names = ["part", "slice", "kh", "ch", "flags"]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {x.split()[0]: [] for x in schema.split(", ")}
-            for r in b.to_pylist():
-                text, before = r["around"], r["before"]
-                for o in range(max(0, before + LENGTH - len(text)), before + 1):
-                    h = xxhash.xxh3_128_intdigest(text[before - o : before - o + LENGTH])
-                    row = (r["kh"], before - (before - o), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), r["doc_id"], r["kt"], r["a"], r["solo"])
-                    for k, v in zip(out, row):
-                        out[k].append(v)
-            yield _batch(schema, **out)
-
-    each = around.mapInArrow(run, schema)
-    key = ["kh", "o", "h1", "h2"]
-    twice = each.select(*key, "doc_id", "kt", "a").distinct().groupBy(*key).count().where("count > 1").select(*key)
-    return each.where("solo").join(twice, key, "left_semi").select("doc_id", "kt", (F.col("a") - F.col("o")).alias("s"), (F.col("a") - F.col("o") + LENGTH).alias("e"))
+            for i, number in enumerate(b.column(0).to_pylist()):
+                route, kh, ch, flags, _ = asks(entries(*_text(b.column(1)[i].as_py(), at)[1:]))
+                cut = _cuts(route, parts)
+                rows = [(p, number, _planes(kh[x:y]), ch[x:y].tobytes(), flags[x:y].tobytes()) for p, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
+                if rows:
+                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    return run
 
-def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Stretches to remove: (doc_id, kt, s, e) in bytes, overlapping ones included; kt is the crc32 of the text.
-
-    Two rows of one id and one text are two documents that repeat each other, with the
-    same spans.  Null text has none.
-    """
-    rows = id_and_text(docs).where(F.octet_length("text") >= LENGTH).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), text_hash(), "text").mapInArrow(_anchor_rows, ANCHOR_ROW)
-    buckets = rows.repartition("kh").sortWithinPartitions("kh", "ch", "doc_id", "kt", "a").mapInArrow(_bucket_rows(group_rows), FOUND_ROW)
-    found = write_shared(buckets, "repeats")
-    told = found.where(F.col("kind") == _REPEAT).select("doc_id", "kt", "s", "e")
-    asked = found.where(F.col("kind") == _ASK)
-    near = _around(docs, asked.where(~F.col("big"))).repartition("kh").sortWithinPartitions("kh", "doc_id", "kt", "a").mapInArrow(_match_rows, SPAN_ROW)
-    out = told.unionByName(near)
-    if not asked.where("big").isEmpty():
-        out = out.unionByName(_counted(_around(docs, asked.where("big"))))
-    return out
 
+def _answer_part(asked: pa.Table) -> pa.Table:
+    """Answers of one partition, a row for each slice that asked it; slices in their order."""
+    asked = asked.sort_by("slice")
+    size = np.array([len(f) for f in asked["flags"].to_pylist()])
+    kh = np.concatenate([_unplanes(x, _U) for x in asked["kh"].to_pylist()])
+    ch, flags = np.frombuffer(b"".join(asked["ch"].to_pylist()), _U), np.frombuffer(b"".join(asked["flags"].to_pylist()), np.uint8)
+    got, ends = answer(kh, ch, flags), np.cumsum(size)
+    return pa.table([asked["part"], asked["slice"], pa.array([got[e - n : e].tobytes() for e, n in zip(ends, size)], pa.binary())], names=["part", "slice", "answers"])
+
+
+def _tell(at: int):
+    """A slice with its answers: the spans that repeat outright (packed), and surroundings that have to be matched."""
+    names = [x.split()[0] for x in AROUND_ROW.split(", ")] + ["told"]
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("slice", pa.int64()), ("a", pa.int64()), ("before", pa.int32()), ("alone", pa.bool_()), ("around", pa.binary()), ("told", pa.binary())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        number = left["slice"][0].as_py()
+        _, data, offs = _text(left["rows"][0].as_py(), at)
+        c = entries(data, offs)
+        _, _, _, _, cls = asks(c)
+        got = np.frombuffer(b"".join(right.sort_by("part")["answers"].to_pylist()), np.uint8)
+        code = np.zeros(len(c["kh"]), np.uint8)
+        code[cls[cls >= 0]] = got[cls >= 0]
+        told = np.nonzero((code[c["of"]] == WHOLE) | (code[c["of"]] == SENDS))[0]
+        doc = np.searchsorted(offs, c["a"][told], side="right") - 1
+        s, e, _ = merge(c["s"][told], c["e"][told], doc)
+        near = np.nonzero(code >= ALONE)[0]
+        a = c["first"][near]
+        raw = data.tobytes()
+        n, z = len(near), [None] * len(near)
+        cols = {
+            "k1": c["kh"][near].view(np.int64), "k2": np.zeros(n, np.int64), "first": np.zeros(n, np.int32), "slice": np.full(n, number), "a": c["a"][a], "before": (c["a"] - c["s"])[a].astype(np.int32),
+            "alone": code[near] == ALONE, "around": [raw[x:y] for x, y in zip(c["s"][a].tolist(), c["e"][a].tolist())], "told": z,
+        }
+        out = pa.table([pa.array(cols[k], schema.field(k).type) for k in names], schema=schema)
+        if len(s):
+            one = {k: [None] for k in names} | {"slice": [number], "told": [np.stack([s, e]).astype(np.int64).tobytes()]}
+            out = pa.concat_tables([out, pa.table([pa.array(one[k], schema.field(k).type) for k in names], schema=schema)])
+        return out
 
-def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int, int]:
-    """What stays of a text, the bytes removed, and how many runs they are in."""
-    parts, at, removed, runs, end = [], 0, 0, 0, -1
-    for s, e in sorted(spans):
-        if s > end:
-            if end >= 0:
-                at = end
-            parts.append(text[at:s])
-            runs += 1
-            removed += e - s
-            end = e
-        elif e > end:
-            removed += e - end
-            end = e
-    parts.append(text[max(end, 0) :])
-    return parts, removed, runs
+    return run
 
 
-def _joined(docs: DataFrame, extra: list[str], group_rows: int) -> DataFrame:
-    spans = repeated_spans(docs, group_rows).groupBy("doc_id", "kt").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    packed = _packed(docs, extra)
-    return packed.join(spans, _same(packed, spans), "left").select(packed["doc_id"], "packed", "spans", *(packed[f"x{i}"] for i in range(len(extra))))
+def _with_spans(docs: DataFrame, group_rows: int, finish: Callable, schema) -> DataFrame:
+    """``finish(rows, bytes, offsets, starts, ends, row of each)`` of every slice, with its merged spans in order."""
+    at = docs.columns.index("text")
+    slices = _slices(docs)
+    n = slices.agg(F.sum("bytes")).first()[0] or 0
+    asked = slices.select("slice", "rows").mapInArrow(_ask(max(1, -(-n // PART_BYTES)), at), "part int, slice long, kh binary, ch binary, flags binary")
+    answers = asked.groupBy("part").applyInArrow(_answer_part, "part int, slice long, answers binary")
+    told = slices.select("slice", "rows").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_tell(at), AROUND_ROW + ", told binary")
+    told = write_shared(told, "dedup-surroundings")
+    spans = matched_spans(told.where("told is null").drop("told"), group_rows)
+    none = F.lit(None)
+    both = told.where("told is not null").select("slice", none.cast("long").alias("s"), none.cast("long").alias("e"), "told").unionByName(spans.withColumn("told", none.cast("binary")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t, data, offs = _text(left["rows"][0].as_py(), at)
+        told = [np.frombuffer(x, np.int64).reshape(2, -1) for x in right["told"].drop_null().to_pylist()]
+        single = right.filter(pc.is_valid(right["s"]))
+        s, e = np.concatenate([np.stack([single[k].to_numpy().astype(np.int64) for k in ("s", "e")]), *told], axis=1)
+        order = np.argsort(s, kind="stable")
+        s, e = s[order], e[order]
+        s, e, row = merge(s, e, np.searchsorted(offs, s, side="right") - 1)
+        return finish(t, data.tobytes(), offs, s, e, row)
+
+    return slices.select("slice", "rows").groupBy("slice").cogroup(both.groupBy("slice")).applyInArrow(run, schema)
+
+
+def kept_parts(raw: bytes, offs: np.ndarray, s: np.ndarray, e: np.ndarray, row: np.ndarray) -> Iterator[tuple[list[bytes], int, int]]:
+    """Of every row what stays of it, the bytes removed, and how many runs they are in."""
+    first = np.searchsorted(row, np.arange(len(offs))).tolist()
+    s, e, offs = s.tolist(), e.tolist(), offs.tolist()
+    for i in range(len(offs) - 1):
+        parts, at, removed = [], offs[i], 0
+        for k in range(first[i], first[i + 1]):
+            parts.append(raw[at : s[k]])
+            removed += e[k] - s[k]
+            at = e[k]
+        parts.append(raw[at : offs[i + 1]])
+        yield parts, removed, first[i + 1] - first[i]
 
 
 def digest(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``.
 
     Null text counts as empty; texts under 200 bytes keep every byte.  Null ids stay null;
-    repeated rows repeat each other and both lose their text; other columns are ignored.
+    rows of one id are different rows, and repeated rows repeat each other and both lose
+    their text; other columns are ignored.
     """
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            size, gone, runs, sha = [], [], [], []
-            for p, spans in zip(b.column(1), b.column(2)):
-                text = unpack(p.as_py())
-                parts, removed, n = kept_parts(text, [(q["s"], q["e"]) for q in spans.as_py() or []])
-                size.append(len(text))
-                gone.append(removed)
-                runs.append(n)
-                sha.append(hashlib.sha256(b"".join(parts)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def finish(t, raw, offs, s, e, row):
+        size, gone, runs, sha = np.diff(offs), [], [], []
+        for parts, removed, n in kept_parts(raw, offs, s, e, row):
+            gone.append(removed)
+            runs.append(n)
+            sha.append(hashlib.sha256(b"".join(parts)).hexdigest())
+        return pa.table([t.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _joined(docs, [], group_rows).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(id_and_text(docs), group_rows, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -568,21 +615,12 @@ def remove_repeats(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     A character that lost some of its bytes goes with them.  Null text becomes empty;
     texts that lose everything stay as empty rows; other columns pass through.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    schema = T.StructType([docs.schema[c] for c in docs.columns if c == "doc_id"] + [T.StructField("text", T.StringType())] + [docs.schema[c] for c in extra])
-    schema["doc_id"].dataType = T.LongType()
+    whole = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            texts = []
-            for p, spans in zip(b.column(1), b.column(2)):
-                parts, _, _ = kept_parts(unpack(p.as_py()), [(q["s"], q["e"]) for q in spans.as_py() or []])
-                texts.append("".join(x.decode("utf-8", "ignore") for x in parts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[3:]], ["doc_id", "text", *extra])
-
-    out = _joined(docs, extra, group_rows).mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    def finish(t, raw, offs, s, e, row):
+        texts = pa.array(["".join(x.decode("utf-8", "ignore") for x in parts) for parts, _, _ in kept_parts(raw, offs, s, e, row)], pa.string())
+        t = t.set_column(at, t.field(at), texts.cast(t.field(at).type))
+        return t if count is None else t.set_column(count, t.field(count), pc.utf8_length(texts).cast(t.field(count).type))
+
+    return _with_spans(whole, group_rows, finish, T.StructType([T.StructField(f.name, f.dataType) for f in whole.schema]))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from codeframe.llm import ann, byte_bpe, components, html_extract, html_tree, lm_score, mixing, quality_pu, quality_rules, simhash, suffix_dedup, token_count
-from codeframe.llm._common import slices
+from codeframe.llm._common import salted, slices
 from codeframe.llm._words import Hasher, Words, base_counts
 
 DIR = "/root/testdata/sf0.001"
@@ -119,7 +119,7 @@ def planted():
     return rows + [(201, "a" * 1000), (202, "b" * 199), (203, "c" * 200), (204, "ab" * 300), (205, base[:200]), (206, base[3:203]), (207, "\0" * 250), (208, "x" + "\0" * 205), (209, ""), (210, "d" * 200), (211, "d" * 200), (211, "d" * 200)]
 
 
-@pytest.mark.parametrize("group_rows", [suffix_dedup.GROUP_ROWS, 10])
+@pytest.mark.parametrize("group_rows", [suffix_dedup.GROUP_ROWS, 10, 2])
 def test_suffix_dedup_equals_brute_force(spark, docs, group_rows):
     rows = planted() + texts(docs)
     got = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), group_rows)
@@ -134,6 +134,48 @@ def test_suffix_dedup_edges(spark, odd):
     assert {r.source for r in out.collect()} == {"src"} and "" in {r.text for r in out.where(F.length("text") == 0).collect()}
 
 
+#: Texts of one crc32, which once took one row for the other.
+SAME_CRC = ("vvekwlpxlsfh one two three four five six", "duxbdagnvvkn one two three four five six")
+
+
+@pytest.mark.parametrize("ids", [(None, None), (7, 7), (7, 8)])
+def test_rows_of_equal_id_and_crc_stay_apart(spark, ids):
+    import zlib
+
+    assert len({zlib.crc32(t.encode()) for t in SAME_CRC}) == 1
+    docs = spark.createDataFrame(list(zip(ids, SAME_CRC)), "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(docs).collect()) == sorted(SAME_CRC)
+    # the first text repeats itself, the second does not; endings are looked for that give both one crc32
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n)).encode()
+    passage, other = word(240), word(480)
+    end = {zlib.crc32(b"%010x" % (k * 2654435761 % 2**40), zlib.crc32(passage + b"-" + passage)): k for k in range(300_000)}
+    j, i = next((j, end[c]) for j in range(3_000_000) if (c := zlib.crc32(b"%010x" % (j * 2654435761 % 2**40), zlib.crc32(other))) in end)
+    raw = [passage + b"-" + passage + b"%010x" % (i * 2654435761 % 2**40), other + b"%010x" % (j * 2654435761 % 2**40)]
+    assert zlib.crc32(raw[0]) == zlib.crc32(raw[1])
+    rows = [(k, t.decode()) for k, t in zip(ids, raw)]
+    got = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_repeats(rows)
+
+
+def test_multikey_quicksort_equals_lexsort():
+    r = np.random.RandomState(3)
+    words = r.randint(0, 4, (3000, 3)).astype(np.uint64)
+    group = np.sort(r.randint(0, 60, 3000))
+    order, new = suffix_dedup.multikey_quicksort(words, group, 3)
+    want = [(group[i], *words[i]) for i in np.lexsort((words[:, 2], words[:, 1], words[:, 0], group))]
+    assert [(group[i], *words[i]) for i in order] == want
+    assert new.tolist() == [True] + [a != b for a, b in zip(want, want[1:])]
+
+
+def test_hot_keys_are_salted(spark):
+    left = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id) as key", "id")
+    right = left.groupBy("key").agg(F.count("*").alias("hits")).withColumn("v", F.col("key") * 2)
+    got = salted(left, right, "key", "id", least=100)
+    assert got.count() == 3000 and got.where("v <> key * 2").count() == 0
+    assert "__part" in got._jdf.queryExecution().toString()
+
+
 def test_deep_shallow_sort_orders_and_measures():
     r = np.random.RandomState(1)
     rows = r.randint(97, 99, (400, 64)).astype(np.uint8)
@@ -312,6 +354,35 @@ def test_bit_sliced_comparison_equals_popcounts():
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d[:70, 70:] <= 4))))
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8, 9])
+def test_every_cover_finds_every_link_by_bit_planes(spark, blocks, monkeypatch):
+    r = np.random.RandomState(7)
+    base = r.randint(-(2**62), 2**62, 30)
+    flip = lambda n: np.bitwise_xor.reduce([np.zeros(30, np.int64)] + [np.int64(1) << r.randint(0, 63, 30) for _ in range(n)])
+    fps = np.unique(np.concatenate([base ^ flip(n) for n in (0, 1, 2, 3, 4, 4, 4)]))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    got = {r.id: r.root for r in components.components(simhash.link(df, blocks=blocks)).collect()}
+    d = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64))
+    root = {int(x): int(x) for x in fps}
+    for _ in range(10):
+        for i, j in zip(*np.nonzero(d <= 4)):
+            root[int(fps[i])] = min(root[int(fps[i])], root[int(fps[j])])
+    linked = {int(x) for x, n in zip(fps, (d <= 4).sum(1)) if n > 1}
+    assert got == {x: root[x] for x in linked}
+    # all pairs of runs, and of no others, go through the sliced kernel
+    seen = []
+    kernel = simhash.sliced
+    monkeypatch.setattr(simhash, "sliced", lambda plane, places, dead, radius: seen.append(int(np.bitwise_count(~dead).sum())) or kernel(plane, places, dead, radius))
+    simhash.pairs_in_runs(fps.view(np.uint64)[:90], np.repeat([0, 1, 2], [40, 49, 1]))
+    simhash.near_pairs(fps.view(np.uint64)[:70], None)
+    assert sum(seen) == 40 * 39 // 2 + 49 * 48 // 2 + 70 * 69 // 2
+
+
+def test_number_of_blocks_follows_the_number_of_fingerprints():
+    got = [simhash.blocks_for(10**k) for k in range(1, 13)]
+    assert got == sorted(got) and got[0] == 5 and got[-1] == 9
+
+
 def test_keep_one_row_of_each_group(spark, odd):
     rows = [(5, "one two three four five"), (3, "one two three four five"), (3, "one two three four five"), (9, "quite another text is this"), (None, None), (None, "")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
