@@ -433,6 +433,26 @@ def nearest(ids, x, q, k=20):
     return ids[np.lexsort((ids, -s))[:k]].tolist()
 
 
+def test_ann_keeps_doubles_and_rows_of_any_length(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(0, [0.1, 0.3]), (1, [0.1, 0.3]), (2, [1e300, 1.0]), (3, [-1e-320, 0.0]), (20, [1.0, 2.0, 3.0]), (21, [0.5, 0.25, 0.1]), (40, [7.0]), (5, [])]
+    got = {(r.query_id, r.vec_id): (r["rank"], r.score) for r in ann.neighbours(spark.createDataFrame([(*r, 1) for r in rows], schema)).collect()}
+    assert got == {(0, 2): (1, 0.1 * 1e300 + 0.3), (0, 1): (2, 0.1 * 0.1 + 0.3 * 0.3), (0, 3): (3, 0.1 * -1e-320), (20, 21): (1, 0.5 + 0.5 + 3.0 * 0.1)}
+    huge = [(i, [1e200 * (i % 7 - 3), 1e200, -1e-200 * i]) for i in range(300)]
+    got = ann.neighbours(spark.createDataFrame([(*r, 1) for r in huge], schema), every=100, k=5).orderBy("query_id", "rank").collect()
+    assert len(got) == 15 and all(got[i].score >= got[i + 1].score or got[i].query_id != got[i + 1].query_id for i in range(14))
+
+
+def test_ann_blocks_of_queries_and_rows(spark, monkeypatch):
+    for name, value in (("BLOCK_QUERIES", 7), ("LEAST_ROWS", 50), ("STEP_ROWS", 20)):
+        monkeypatch.setattr(ann, name, value)
+    x = np.random.RandomState(9).normal(size=(600, 6)).astype(np.float32)
+    got = ann.neighbours(spark.createDataFrame(pa.table({"vec_id": np.arange(600), "embedding": list(x)}))).orderBy("query_id", "rank").toPandas()
+    assert len(got) == 600
+    for q, mine in got.groupby("query_id"):
+        assert mine.vec_id.tolist() == nearest(np.arange(600), x.astype(np.float64), q)
+
+
 def test_ann_recall_on_a_larger_table(spark):
     x = np.random.RandomState(5).normal(size=(20_000, 64))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
