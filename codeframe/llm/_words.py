@@ -131,8 +131,17 @@ def base_counts(w: Words, hasher: Hasher, h: np.ndarray) -> dict[str, np.ndarray
     return out
 
 
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the texts as numbers, and offsets into them; bytes where a text is no UTF-8."""
+    lead = (data & 0xC0) != 0x80
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(codes) != int(lead.sum()):
+        return data.astype(np.uint32), offs
+    return codes, np.concatenate([[0], np.cumsum(lead)])[offs]
+
+
 def hashed_counts(w: Words, h: np.ndarray, n_word: int, n_char: int, floor: float = 1) -> np.ndarray:
-    """A row per text: square roots of the shares of word 1- and 2-grams in ``n_word`` bins, and of byte 3-grams in ``n_char``.
+    """A row per text: square roots of the shares of word 1- and 2-grams in ``n_word`` bins, and of character 3-grams in ``n_char``.
 
     Shares are of at least ``floor`` grams, which holds short texts near zero.
     """
@@ -140,20 +149,18 @@ def hashed_counts(w: Words, h: np.ndarray, n_word: int, n_char: int, floor: floa
     two, at = windows(w, h, 2)
     bins = np.concatenate([w.doc * n_word + (h % _U(n_word)).astype(np.int64), w.doc[at] * n_word + (two % _U(n_word)).astype(np.int64)])
     word = np.bincount(bins, minlength=n * n_word).reshape(n, n_word).astype(np.float32)
-    d = w.data
+    d, offs = code_points(w.data, w.offs)
     if len(d) >= 3:
-        code = d[:-2].astype(np.uint32)
-        code <<= np.uint32(8)
-        code |= d[1:-1]
-        code <<= np.uint32(8)
-        code |= d[2:]
+        code = d[:-2] * np.uint32(0x85EBCA6B)
+        code += d[1:-1]
+        code *= np.uint32(0xC2B2AE35)
+        code += d[2:]
         code *= np.uint32(0x9E3779B1)
         code >>= np.uint32(32 - int(n_char).bit_length() + 1)
-        lens = np.diff(w.offs)
-        doc = np.repeat(np.arange(n, dtype=np.int64) * n_char, lens)[:-2]
+        doc = np.repeat(np.arange(n, dtype=np.int64) * n_char, np.diff(offs))[:-2]
         inside = np.ones(len(code), bool)
         for k in (1, 2):
-            cross = w.offs[1:-1] - k
+            cross = offs[1:-1] - k
             inside[cross[(cross >= 0) & (cross < len(code))]] = False
         char = np.bincount((doc + code)[inside], minlength=n * n_char).reshape(n, n_char).astype(np.float32)
     else:

@@ -4,7 +4,7 @@ A target model (texts that the labels call good) and a background model (all
 documents) are bigram models of the same kind over one shared vocabulary: all words
 of the whole corpus (or the commonest, if a size is stated) and a text start.  A
 text's score is the mean difference of its per-token losses; higher is nearer the
-target.
+target.  Every text is scored by models without itself: its own counts are taken off.
 
 The models grow with the corpus and are never in one place.  Texts are packed into
 slices; each slice's distinct n-grams meet those of the others by 64-bit hash in
@@ -30,7 +30,7 @@ BACKOFF = 20.0
 #: Distinct words that a task holds before it hands them on, where a vocabulary of a stated size is counted.
 HELD_WORDS = 200_000
 #: Characters of a slice of texts, about; tokens for each partition of n-grams, about; good ids that are broadcast, at most.
-SLICE_CHARS, PART_TOKENS, BROADCAST_IDS = 1 << 21, 2_000_000, 100_000
+SLICE_CHARS, PART_TOKENS, BROADCAST_IDS = 1 << 21, 1_000_000, 100_000
 #: Hashes of the text start and of any word outside a vocabulary of a stated size.
 START, UNKNOWN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: N-grams of each slice: (previous, word) with how often it occurs; a word, or the start, with how often it occurs and how often it is previous.
@@ -157,24 +157,36 @@ def _answer(asked: pa.Table) -> pa.Table:
 ANSWER = [("part", pa.int32()), ("kind", pa.int32()), ("slice", pa.int64()), ("background", pa.binary()), ("target", pa.binary()), ("distinct", pa.int64())]
 
 
+def _own(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often its own text has the n-gram of each place."""
+    _, which, count = np.unique(doc * (int(at.max(initial=0)) + 1) + at, return_inverse=True, return_counts=True)
+    return count[which]
+
+
 def _score(tokens: tuple[int, int], size: int):
     """Scores of a slice's texts from its counts. tokens: of the background and the target; size: of the vocabulary."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
         row = left.to_pylist()[0]
-        n, _, grams = _slice(row)
+        n, good, grams = _slice(row)
         right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
         kinds = right["kind"].to_numpy()
+        doc = np.repeat(np.arange(len(n)), n)
+        (_, (both,)), (_, (own_word, own_previous)) = grams
+        own = [_own(doc, both), _own(doc, own_word), _own(doc, own_previous)]
         means = []
         for name, total in zip(("background", "target"), tokens):
             raw = right[name].to_pylist()
             count = []
             for k, (_, places) in enumerate(grams):
-                own = np.concatenate([np.zeros((1 + k, 0), np.int64), *(_unpack(raw[i], np.int64).reshape(1 + k, -1) for i in np.flatnonzero(kinds == k))], axis=1)
-                count += [c[at] for c, at in zip(own, places)]
-            pair, word, previous = count
-            loss = -np.log((pair + BACKOFF * ((word + 1) / (total + size))) / (previous + BACKOFF))
+                got = np.concatenate([np.zeros((1 + k, 0), np.int64), *(_unpack(raw[i], np.int64).reshape(1 + k, -1) for i in np.flatnonzero(kinds == k))], axis=1)
+                count += [c[at] for c, at in zip(got, places)]
+            # what the text itself has added to this model
+            in_it = np.ones(len(n), bool) if name == "background" else good
+            pair, word, previous = (c - np.where(in_it[doc], o, 0) for c, o in zip(count, own))
+            rest = (total - np.where(in_it, n, 0))[doc]
+            loss = -np.log((pair + BACKOFF * ((word + 1) / (rest + size))) / (previous + BACKOFF))
             sums, ends = np.concatenate([[0.0], np.cumsum(loss)]), np.cumsum(n)
             means.append((sums[ends] - sums[ends - n]) / np.maximum(n, 1))
         return pa.table([pa.array(row["doc_id"], pa.int64()), pa.array(n), pa.array(means[1]), pa.array(means[0]), pa.array(means[0] - means[1])], schema=schema)
@@ -197,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFr
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = docs.join(F.broadcast(good) if few else good, "doc_id", "left").select("doc_id", "text", F.coalesce("is_good", F.lit(False)).alias("is_good"))
     packed = slices_of(marked, None if size is None else vocabulary(docs, size))
-    slices = write_shared(packed.withColumn("slice", F.monotonically_increasing_id()), "lm-slices")
+    slices = write_shared(packed.withColumn("slice", F.monotonically_increasing_id()), "lm-slices", 32)
     n = slices.agg(F.sum("tokens")).first()[0] or 0
     parts = max(1, -(-n // PART_TOKENS))
     asked = slices.mapInArrow(_ask(parts), "part int, kind int, slice long, keys binary, background binary, target binary")

@@ -1,11 +1,14 @@
 """Quality classifier by positive-unlabelled learning.
 
-Only trusted good texts and unlabelled web text are used.  The share of good text
-in the web (the class prior) is estimated from the two score distributions of a
-first classifier; then the non-negative unbiased risk
-``prior * R_p+ + max(0, R_u- - prior * R_p-)`` is minimised with the logistic loss.
+Only trusted good texts and unlabelled web text are used.  The non-negative unbiased risk
+``prior * R_p+ + max(0, R_u- - prior * R_p-)`` is taken with the squared loss, for which
+all that it needs of the unlabelled texts are their mean and second moments: these are
+summed over every row of the learning fold in one pass, so no unlabelled row is left out
+at any size.  The share of good text in the web (the class prior) is read off how a first
+classifier, fitted on one half of the rows, scores all rows of the other.  The threshold is
+where the same risk, with the zero-one loss and over all rows, is least.
 Features are computed on whole texts in Arrow batches: shares of hashed word and
-byte n-grams and a few shape statistics.
+character n-grams and a few shape statistics.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ WORD_BINS, CHAR_BINS = 256, 512
 GRAM_FLOOR = 200
 #: n-gram shares are scaled by this and not by their spread: rare grams stay small.
 GRAM_SPREAD = 0.1
-#: Bounds of the two training samples, chosen by a hash of the id.
-POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
+#: Bound of the sample of labelled rows, chosen by a hash of the id.
+POSITIVE_ROWS = 4_000
+#: A score is the logistic of so many times the classifier's value, which is -1 for bad and 1 for good.
+SLOPE = 4.0
 
 
 @dataclass
@@ -75,74 +80,169 @@ def kernel(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.concatenate([shape, hashed_counts(w, h, WORD_BINS, CHAR_BINS, GRAM_FLOOR)], 1)
 
 
-def descend(grad, width: int, steps: int = 300, rate: float = 0.03) -> np.ndarray:
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    for t in range(1, steps + 1):
-        g = grad(w)
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of x x' (x: features and a one) over rows of (half, text), for each half.
+
+    Tasks add up their rows; sums of tasks are added in partitions of matrix rows, so that
+    the driver gets one matrix a half, however many rows and tasks there are.
+    """
+    width = len(kernel(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0]) + 1
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            half = b.column(0).to_numpy()
+            for i, j, data, offs in slices(b.column(1)):
+                x = _with_one(kernel(data, offs))
+                for h in np.unique(half[i:j]).tolist():
+                    own = x[half[i:j] == h]
+                    total[h] = total.get(h, 0) + (own.T @ own).astype(np.float64)
+        for h, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([h] * width, pa.int32()), pa.array(range(width), pa.int32()), pa.array([m[i, i:].astype(np.float32).tobytes() for i in range(width)], pa.binary())], ["half", "i", "row"])
+
+    @tidy
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for h, i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                total[h, i] = total.get((h, i), 0) + np.frombuffer(raw.as_py(), np.float32).astype(np.float64)
+        for (h, i), v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([i], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["half", "i", "row"])
+
+    schema = "half int, i int, row binary"
+    out = np.zeros((2, width, width))
+    for r in rows.mapInArrow(run, schema).repartition("half", "i").mapInArrow(add, schema).collect():
+        out[r.half, r.i, r.i :] = out[r.half, r.i :, r.i] = np.frombuffer(r.row, np.float64)
+    return out[0], out[1]
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.03) -> float:
-    """The least ratio of unlabelled to positive mass above a threshold, over thresholds that keep enough positives."""
+def counts_above(rows: DataFrame, value, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of each half reach each cut, and how many there are; counted in tasks.
+
+    ``value`` gives a row of m values per text, ``cuts`` has a row of ascending cuts for each of them.
+    """
+    m, k = cuts.shape
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, m * k + 1), np.int64)
+        for b in batches:
+            half = b.column(0).to_numpy()
+            for i, j, data, offs in slices(b.column(1)):
+                v = value(kernel(data, offs))
+                for h in (0, 1):
+                    own = np.sort(v[half[i:j] == h], axis=0)
+                    out[h, :-1] += np.concatenate([len(own) - np.searchsorted(own[:, x], cuts[x]) for x in range(m)])
+                    out[h, -1] += len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel(), pa.int64())], ["cut", "n"])
+
+    got = np.zeros(2 * (m * k + 1), np.int64)
+    for r in rows.mapInArrow(run, "cut int, n long").groupBy("cut").agg(F.sum("n").alias("n")).collect():
+        got[r.cut] = r.n
+    got = got.reshape(2, -1)
+    return got[:, :-1].reshape(2, m, k), got[:, -1]
+
+
+#: Shares of positives that thresholds for the prior keep.
+KEEP = np.linspace(1.0, 0.1, 91)
+
+
+def estimate_prior(positive: np.ndarray, above: np.ndarray, n: int, slack: float = 0.03) -> float:
+    """The least ratio of unlabelled to positive mass above a threshold, over thresholds that keep enough positives.
+
+    ``above``: shares of the ``n`` unlabelled scores at or over the quantiles of ``positive`` at ``1 - KEEP``.
+    """
     best = 1.0
-    for t in np.quantile(positive, np.linspace(0.0, 0.9, 91)):
-        p, u = (positive >= t).mean(), (unlabelled >= t).mean()
-        band = slack / np.sqrt(p)
-        best = min(best, (u + band * np.sqrt(u * (1 - u) / len(unlabelled)) * 30) / p)
+    for t, u in zip(np.quantile(positive, 1 - KEEP), above):
+        p = (positive >= t).mean()
+        best = min(best, (u + slack / np.sqrt(p) * np.sqrt(u * (1 - u) / max(n, 1)) * 30) / p)
     return float(np.clip(best, 0.02, 0.98))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, l2: float = 1e-3) -> Model:
-    """The model from positives and unlabelled rows; constant 1 when either is missing."""
-    if not len(pos) or not len(unl):
-        width = pos.shape[1]
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 4.0, 1.0)
-    n = len(pos) + len(unl)
-    mean = (pos.sum(0, dtype=np.float64) + unl.sum(0, dtype=np.float64)) / n
-    spread = np.maximum(np.sqrt((np.square(pos - mean.astype(np.float32)).sum(0, dtype=np.float64) + np.square(unl - mean.astype(np.float32)).sum(0, dtype=np.float64)) / n), 1e-2)
-    spread[-(WORD_BINS + CHAR_BINS) :] = GRAM_SPREAD
-    p, u = (((x - mean.astype(np.float32)) / spread.astype(np.float32)) for x in (pos, unl))
-    width = p.shape[1] + 1
+def risk(w: np.ndarray, second: np.ndarray, pos: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * R_p+, R_u- - prior * R_p-, and their gradients; second: mean of x x' of unlabelled rows, whose last feature is one."""
+    z, one = pos @ w, np.eye(len(w))[-1]
+    a = w + one
+    good, bad = prior * np.square(1 - z).mean() / 4, a @ second @ a / 4 - prior * np.square(1 + z).mean() / 4
+    return good, bad, -prior * ((1 - z) @ pos) / len(pos) / 2, second @ a / 2 - prior * ((1 + z) @ pos) / len(pos) / 2
+
 
-    def first(w):
-        v = w[:-1].astype(np.float32)
-        a, b = (sigmoid(p @ v + w[-1]) - 1) / len(p), sigmoid(u @ v + w[-1]) / len(u)
-        return np.append(a.astype(np.float32) @ p + b.astype(np.float32) @ u + 10 * l2 * w[:-1], a.sum() + b.sum())
+def minimise(second: np.ndarray, pos: np.ndarray, prior: float, l2: float) -> np.ndarray:
+    """The w of least non-negative risk.
 
+    Where the second part of the risk is not negative at the least sum of both, that is the
+    answer; else the least first part at which the second is zero, found by bisecting the
+    weight ``t`` of the second part.
+    """
+    ridge = l2 * np.diag(np.append(np.ones(len(second) - 1), 0.0)) + 1e-9 * np.eye(len(second))
+    mean, own = pos.mean(0), pos.T @ pos / len(pos)
+    at = lambda t: np.linalg.solve(prior * (1 - t) * own + t * second + ridge, prior * (1 + t) * mean - t * second[-1])
+    lo, hi, w = 0.0, 1.0, at(1.0)
+    if risk(w, second, pos, prior)[1] >= 0:
+        return w
+    for _ in range(40):
+        t = (lo + hi) / 2
+        w = at(t)
+        lo, hi = (t, hi) if risk(w, second, pos, prior)[1] >= 0 else (lo, t)
+    return w
+
+
+#: Priors for which the classifier is prepared, and values at which its threshold may lie.
+PRIORS, VALUES = np.linspace(0.05, 0.95, 19), np.linspace(-3, 3, 121)
+
+
+def threshold(pos: np.ndarray, above: np.ndarray, prior: float) -> float:
+    """The middle of the values at which the non-negative risk of the zero-one loss is least, up to half a percent."""
+    keep = (pos[None, :] >= VALUES[:, None]).mean(1)
+    lost = prior * (1 - keep) + np.maximum(0, above - prior * keep)
+    best = VALUES[lost <= lost.min() + 0.005]
+    return float((best[0] + best[-1]) / 2)
+
+
+def fit(pos: np.ndarray, halves: tuple[np.ndarray, np.ndarray], above, l2: float = 0.1) -> Model:
+    """The model from positives and the moments of both halves of the unlabelled rows; constant 1 when either is missing.
+
+    ``above(value, cuts)`` counts the unlabelled rows of each half whose values reach each cut.
+    """
+    width, n = pos.shape[1], halves[0][-1, -1] + halves[1][-1, -1]
+    if not len(pos) or n < 1:
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 4.0, 1.0)
+    both = (halves[0] + halves[1]) / n
+    mean = both[-1, :-1]
+    spread = np.maximum(np.sqrt(np.maximum(np.diag(both)[:-1] - mean * mean, 0)), 1e-2)
+    spread[-(WORD_BINS + CHAR_BINS) :] = GRAM_SPREAD
+    # moments of scaled features from those of raw ones
+    scale = np.diag(np.append(1 / spread, 1.0))
+    scale[-1, :-1] = -mean / spread
+    scaled = lambda m: scale.T @ (m / max(m[-1, -1], 1)) @ scale
+    p, odd = _with_one((pos - mean) / spread), np.arange(len(pos)) % 2 == 1
+    known = bool(odd.any() and halves[0][-1, -1] and halves[1][-1, -1])
     # the prior is read off rows that the first classifier was not fitted on
-    odd_p, odd_u = np.arange(len(p)) % 2 == 1, np.arange(len(u)) % 2 == 1
-    full_p, full_u = p, u
-    p, u = full_p[~odd_p], full_u[~odd_u]
-    w = descend(first, width, 150)
-    p, u = full_p, full_u
-    prior = estimate_prior(p[odd_p] @ w[:-1] + w[-1], u[odd_u] @ w[:-1] + w[-1]) if odd_p.any() and odd_u.any() else 0.5
-
-    def risk(w):
-        v = w[:-1].astype(np.float32)
-        zp, zu = (p @ v + w[-1]).astype(np.float64), (u @ v + w[-1]).astype(np.float64)
-        soft = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up = (sigmoid(zp) - 1) / len(p)  # derivative of the loss of a positive taken as positive
-        neg_u, neg_p = sigmoid(zu) / len(u), sigmoid(zp) / len(p)
-        if soft >= 0:
-            gp, gu = prior * up - prior * neg_p, neg_u
-        else:  # the estimated negative risk went below zero: only undo the overfit
-            gp, gu = prior * neg_p, -neg_u
-        return np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + l2 * w[:-1], gp.sum() + gu.sum())
-
-    w = descend(risk, width)
-    return Model(mean, spread, w[:-1], float(w[-1]), prior)
-
-
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
-    """Fit on the learning fold only: rows whose ``held_out`` is false."""
+    half, some = scaled(halves[0] if known else halves[0] + halves[1]), p[~odd] if known else p
+    first = np.linalg.solve(some.T @ some / len(some) + half + np.eye(width + 1), some.mean(0) - half[-1])
+    second = scaled(halves[0] + halves[1])
+    w = np.stack([first, *(minimise(second, p, prior, l2) for prior in PRIORS)], 1)
+    raw, shift = w[:-1] / spread[:, None], w[-1] - mean / spread @ w[:-1]
+    seen = p @ w
+    cuts = np.vstack([np.pad(np.quantile(seen[odd if known else ~odd, 0], 1 - KEEP), (0, len(VALUES) - len(KEEP)), "edge"), *[VALUES] * len(PRIORS)])
+    count, size = above(lambda x: x @ raw + shift, cuts)
+    prior = estimate_prior(seen[odd, 0], count[1, 0, : len(KEEP)] / size[1], int(size[1])) if known else 0.5
+    at = 1 + int(np.abs(PRIORS - prior).argmin())
+    t = threshold(seen[:, at], count[:, at].sum(0) / size.sum(), prior)
+    return Model(mean, spread, SLOPE * w[:-1, at], float(SLOPE * (w[-1, at] - t)), prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_ROWS) -> Model:
+    """Fit on the learning fold only: rows whose ``held_out`` is false, all of them as unlabelled text."""
     docs = docs.where(~held_out())
     good = sample_rows(docs, labels.where((F.col("quality") == 1) & ~held_out()), positives)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(unlabelled)
-    web = id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("y", F.lit(0))
-    return fit(features(good, kernel)[0], features(web, kernel)[0])
+    rows = id_and_text(docs).select(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).cast("int").alias("half"), "text")
+    return fit(features(good, kernel)[0].astype(np.float64), moments(rows), lambda value, cuts: counts_above(rows, value, cuts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

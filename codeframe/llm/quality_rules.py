@@ -1,7 +1,7 @@
 """Quality rules: exact base counts, and a hashed n-gram logistic regression against fixed thresholds.
 
 The regression sees shares of hashed word 1- and 2-grams and of hashed character
-(byte) 3-grams.  It is trained on labelled rows, its output is calibrated to a
+3-grams.  It is trained on labelled rows, its output is calibrated to a
 probability on rows that the weights never saw, and Arrow batches of whole texts
 are scored against a threshold that is a parameter.
 """
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from codeframe.llm._common import id_and_text, slices, tidy
 from codeframe.llm._words import Hasher, Words, base_counts, hashed_counts
 
 #: Bins of word n-grams and of character n-grams (a power of two).
-WORD_BINS, CHAR_BINS = 1024, 1024
+WORD_BINS, CHAR_BINS = 4096, 2048
 #: At most so many labelled rows fit the model, the smallest by a hash of their id.
 TRAIN_ROWS = 4_000
 #: A text passes with at least this calibrated probability of being good.
@@ -65,16 +66,16 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> Model:
     hold = np.arange(len(y)) % 5 == 4
     if len(y) < 50 or len(set(y[hold])) < 2:
         hold[:] = False
-    xa, ya = x[~hold].astype(np.float64), y[~hold]
+    xa, ya = x[~hold] if hold.any() else x, y[~hold]
 
     def grad(w):
-        r = (sigmoid(xa @ w[:-1] + w[-1]) - ya) / len(ya)
-        return np.append(xa.T @ r + l2 * w[:-1], r.sum())
+        r = (sigmoid(xa @ w[:-1].astype(np.float32) + w[-1]) - ya) / len(ya)
+        return np.append(r.astype(np.float32) @ xa + l2 * w[:-1], r.sum())
 
     w = adam(grad, np.zeros(x.shape[1] + 1), 400, 0.1)
     scale, shift = 1.0, 0.0
     if hold.any():
-        z, t = x[hold] @ w[:-1] + w[-1], y[hold]
+        z, t = x[hold] @ w[:-1].astype(np.float32) + w[-1], y[hold]
         t = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))  # Platt's targets
 
         def calibrate(p):
@@ -109,22 +110,25 @@ def sample_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 def features(rows: DataFrame, kernel) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows and labels of a bounded sample, on the driver, in the order of ids.
 
-    ``kernel(data, offs)`` gives a float32 row per text; executors run it.
+    ``kernel(data, offs)`` gives a float32 row per text; executors run it.  Rows are mostly
+    zeros and travel compressed.
     """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             for i, j, data, offs in slices(b.column(1)):
-                x = kernel(data, offs).astype(np.float16)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                raw = pa.array([pack(r.tobytes()) for r in kernel(data, offs)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), raw, b.column(2).slice(i, j - i)], ["doc_id", "x", "y"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").toArrow().sort_by("doc_id")
-    raw = b"".join(got["x"].to_pylist())
     y = got["y"].to_numpy().astype(np.float64)
-    width = len(kernel(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
-    return np.frombuffer(raw, np.float16).astype(np.float32).reshape(len(y), width), y
+    x = np.zeros((len(y), len(kernel(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])), np.float32)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for i, raw in enumerate(got["x"]):
+        x[i] = np.frombuffer(unpack(raw.as_py()), np.float32)
+    return x, y
 
 
 def ngram_row(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -132,6 +136,14 @@ def ngram_row(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return hashed_counts(w, Hasher(data)(w.start, w.end), WORD_BINS, CHAR_BINS)
 
 
+def calibration_error(p: np.ndarray, y: np.ndarray, bins: int = 10) -> float:
+    """Expected calibration error: mean gap of probability and share of good rows, over bins of probability."""
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    n = np.maximum(np.bincount(at, minlength=bins), 1)
+    gap = np.abs(np.bincount(at, p, bins) / n - np.bincount(at, y, bins) / n)
+    return float((gap * np.bincount(at, minlength=bins)).sum() / max(len(p), 1))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(*features(sample_rows(docs, labels, rows), ngram_row))
 

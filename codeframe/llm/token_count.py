@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from codeframe.llm._common import id_and_text, tidy
 
-#: Entries of the broadcast table, and the bounded sample that it is chosen from.
-#: The sample decides only what is found in tier one, never a count.
-TABLE_WORDS, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 1_000, 8_000
+#: Entries of the broadcast table, and about how many rows, chosen by a hash of their ids all over
+#: the corpus, it is learnt from.  They decide only what is found in tier one, never a count.
+TABLE_WORDS, SAMPLE_ROWS = 32_768, 2_000
 #: Entries of a worker's cache, per generation; longer pre-tokens are not kept.
 CACHE_WORDS, KEY_CHARS = 200_000, 64
 
@@ -77,12 +77,26 @@ class Counts:
 
 
 def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
-    """The broadcast table: lengths of the commonest pre-tokens of a bounded sample of rows."""
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS).collect()
-    seen: Counter[str] = Counter()
-    for r in rows:
-        seen.update(w for w in pretokens(r.t)[:-1] if w and len(w) <= KEY_CHARS)
-    words = [w for w, _ in seen.most_common(TABLE_WORDS)]
+    """The broadcast table: lengths of the commonest pre-tokens of whole texts from all over the corpus.
+
+    Tasks count their share and hand on at most TABLE_WORDS words each.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for t in b.column(0):
+                seen.update(w for w in pretokens(t.as_py() or "") if w and len(w) <= KEY_CHARS)
+                if len(seen) > 4 * TABLE_WORDS:
+                    seen = Counter(dict(seen.most_common(TABLE_WORDS)))
+        top = seen.most_common(TABLE_WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+
+    every = max(1, docs.count() // SAMPLE_ROWS)
+    some = docs.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(every)) == 0).select("text")
+    counts = some.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()]
     got = tokenizer(path).encode_batch(words, add_special_tokens=False)
     return {"": 0} | {w: len(g.ids) for w, g in zip(words, got)}
 

@@ -308,7 +308,78 @@ def test_quality_rules(spark, labels, odd):
     assert got.where("base_failed <> (n_words < 50 or 100 * n_repeat_words > 50 * n_words)").count() == 0
     edge = quality_rules.apply_rules(odd, model)
     assert edge.count() == odd.count() and quality_rules.apply_rules(odd.limit(0), model).count() == 0
-    assert quality_rules.train(docs, labels.limit(0)).probability(np.zeros((1, 2048), np.float32))[0] > 0.5
+    assert quality_rules.train(docs, labels.limit(0)).probability(np.zeros((1, 6144), np.float32))[0] > 0.5
+
+
+def test_quality_rules_on_rows_they_were_not_fitted_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    x, y = quality_rules.features(quality_rules.sample_rows(docs, labels.where("doc_id % 3 = 1"), 4000), quality_rules.ngram_row)
+    p = quality_rules.train(docs, labels.where("doc_id % 3 <> 1")).probability(x)
+    assert len(y) > 500 and ((p >= 0.5) == (y == 1)).mean() > 0.96
+    assert quality_rules.calibration_error(p, y) < 0.03
+    assert quality_rules.calibration_error(np.array([0.5, 0.5]), np.array([0, 1])) == 0
+
+
+def test_threshold_ties_are_kept(spark):
+    model = quality_rules.Model(np.zeros(quality_rules.WORD_BINS + quality_rules.CHAR_BINS), 0.0, 1.0, 0.0)
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60)))], "doc_id long, text string")
+    assert quality_rules.apply_rules(docs, model).first().kept
+    flat = quality_pu.Model(np.zeros(780), np.ones(780), np.zeros(780), 0.0, 0.5)
+    assert quality_pu.score(docs, flat).first().predicted == 1 and quality_pu.keep_good(docs, flat).count() == 1
+
+
+def test_character_grams_are_of_code_points():
+    from codeframe.llm._words import code_points, hashed_counts
+
+    col = ["añb", "", "日本語x", "abc abc"]
+    _, _, data, offs = next(slices(pa.array(col)))
+    codes, at = code_points(data, offs)
+    assert [codes[a:b].tolist() for a, b in zip(at, at[1:])] == [list(map(ord, t)) for t in col]
+    w = Words(data, offs)
+    rows = hashed_counts(w, Hasher(data)(w.start, w.end), 64, 1 << 16)[:, 64:]
+    assert [(r > 0).sum() for r in rows] == [1, 0, 2, 4]
+
+
+def test_pu_moments_prior_and_risk_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 200")
+    rows = docs.select((F.col("doc_id") % 2).cast("int").alias("half"), "text").repartition(3)
+    got = quality_pu.moments(rows)
+    x = [np.concatenate([np.append(quality_pu.kernel(d, o), np.ones((len(o) - 1, 1), np.float32), axis=1) for _, _, d, o in slices(pa.array([r.text for r in rows.where(f"half = {h}").collect()]))]).astype(np.float64) for h in (0, 1)]
+    for g, m in zip(got, x):
+        assert np.allclose(g, m.T @ m, rtol=1e-4, atol=1e-3) and g[-1, -1] == len(m)
+    value = lambda v: v @ np.stack([np.linspace(-1, 1, v.shape[1]), np.ones(v.shape[1])], 1)
+    cuts = np.quantile(value(x[1][:, :-1]), [0.1, 0.5, 0.9], axis=0).T + 1e-4
+    count, n = quality_pu.counts_above(rows, value, cuts)
+    assert n.tolist() == [len(m) for m in x]
+    assert np.abs(count - np.array([[(value(m[:, :-1])[:, [k]] >= cuts[k]).sum(0) for k in (0, 1)] for m in x])).max() <= 1
+    # the risk and its gradient, from rows and not from moments
+    r = np.random.RandomState(1)
+    u, p, prior = np.append(r.normal(size=(400, 6)), np.ones((400, 1)), 1), np.append(r.normal(0.7, 1, (80, 6)), np.ones((80, 1)), 1), 0.4
+    second = u.T @ u / len(u)
+
+    def plain(w):
+        return prior * np.mean((1 - p @ w) ** 2) / 4, np.mean((1 + u @ w) ** 2) / 4 - prior * np.mean((1 + p @ w) ** 2) / 4
+
+    w = r.normal(size=7)
+    good, bad, g_good, g_bad = quality_pu.risk(w, second, p, prior)
+    assert np.allclose((good, bad), plain(w))
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        up, down = plain(w + step), plain(w - step)
+        assert np.allclose((g_good[k], g_bad[k]), [(a - b) / 2e-6 for a, b in zip(up, down)], atol=1e-5)
+    best = quality_pu.minimise(second, p, prior, 0.0)
+    whole = lambda w: plain(w)[0] + max(0, plain(w)[1])
+    assert all(whole(best) <= whole(best + d) + 1e-6 for d in r.normal(0, 0.05, (200, 7)))
+    # far too few unlabelled rows: the part that must not be negative is brought back
+    few = u[:5].T @ u[:5] / 5
+    fixed = quality_pu.minimise(few, p, 0.9, 1e-6)
+    assert abs(quality_pu.risk(fixed, few, p, 0.9)[1]) < 1e-4
+    # a known share of positives
+    pos, neg = r.normal(2, 1, 20_000), r.normal(-2, 1, 20_000)
+    mixed = np.concatenate([pos[:6000], neg[:4000]])
+    at = np.quantile(pos[10_000:], 1 - quality_pu.KEEP)
+    assert abs(quality_pu.estimate_prior(pos[10_000:], np.array([(mixed >= t).mean() for t in at]), len(mixed)) - 0.6) < 0.04
 
 
 def test_pu_classifier_on_held_out_rows(spark, labels, odd):
@@ -571,9 +642,13 @@ def test_lm_scores_equal_brute_force(spark):
         for p, w in zip([0, *x], x):
             cells[1, p, w] += 1
             cells[0, p, w] += i in good
-    uni = (cells.sum(1) + 1) / (cells.sum((1, 2)) + size)[:, None]
-    loss = -np.log((cells + 20 * uni[:, None, :]) / (cells.sum(2, keepdims=True) + 20))
     for i, x in ids.items():
+        rest = cells.copy()  # without the text itself
+        for p, w in zip([0, *x], x):
+            rest[1, p, w] -= 1
+            rest[0, p, w] -= i in good
+        uni = (rest.sum(1) + 1) / (rest.sum((1, 2)) + size)[:, None]
+        loss = -np.log((rest + 20 * uni[:, None, :]) / (rest.sum(2, keepdims=True) + 20))
         t, b = (np.mean([loss[m, p, w] for p, w in zip([0, *x], x)]) if x else 0.0 for m in (0, 1))
         assert got[i].n_tokens == len(x) and abs(got[i].target_loss - t) < 1e-4 and abs(got[i].background_loss - b) < 1e-4 and abs(got[i].score - (b - t)) < 1e-4
 
@@ -607,8 +682,10 @@ def test_lm_models_every_word(spark):
     total = [sum(c.values()) for c in cells]
     got = {r.doc_id: r for r in lm_score.score(docs, spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")).collect()}
     for i, t in rows:
-        loss = [0.0, 0.0]
+        loss, mine = [0.0, 0.0], list(zip([None, *t.split()], t.split()))
+        own, own_w, own_p = collections.Counter(mine), collections.Counter(w for _, w in mine), collections.Counter(p for p, _ in mine)
         for m, c in enumerate(cells):
-            terms = [-np.log((c[p, w] + 20 * (word[m][w] + 1) / (total[m] + size)) / (previous[m][p] + 20)) for p, w in zip([None, *t.split()][: len(t.split())], t.split())]
+            k = int(m == 1 or i in good)  # whether the text is in the model; it is taken off
+            terms = [-np.log((c[p, w] - k * own[p, w] + 20 * (word[m][w] - k * own_w[w] + 1) / (total[m] - k * len(mine) + size)) / (previous[m][p] - k * own_p[p] + 20)) for p, w in mine]
             loss[m] = np.mean(terms) if terms else 0.0
         assert got[i].n_tokens == len(t.split()) and abs(got[i].target_loss - loss[0]) < 1e-9 and abs(got[i].background_loss - loss[1]) < 1e-9
