@@ -35,6 +35,8 @@ def share_code(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         # rows here are whole texts: a batch of 10,000 would be tens of MB on both sides of every worker
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)) == str(2**31 - 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codeframe.llm import byte_bpe, mixing, quality_pu, simhash, suffix_dedup
-from codeframe.llm._common import table, write_shared
+from codeframe.llm._common import drop_written, table, write_shared, written
 from codeframe.session import share_code
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -55,8 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's rows are written in the shared folder and read again.
+
+    What a stage has written on its way goes once its rows are there, and its rows go once the
+    next one's are.
+    """
+    docs, own = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = write_shared(stage(spark, docs, sf_dir), name)
+        after = written()
+        drop_written(spark, before, after - 1)
+        if own is not None:
+            drop_written(spark, own, own + 1)
+        own = after - 1
     return STAGES[-1][1](spark, docs, sf_dir)
