@@ -80,6 +80,14 @@ def drop_written(spark: SparkSession, since: int, upto: int) -> None:
             _written[k] = ""
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 def tidy(run: Callable) -> Callable:
     """Give a task's freed memory back to the system at its end: workers are reused, and would keep it."""
 
@@ -88,11 +96,20 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library: nothing to trim
+            _give_back()
+
+    return wrapped
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """The same after each group of a function of two tables, whose groups are big and few."""
+
+    @wraps(run)
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
 
     return wrapped
 

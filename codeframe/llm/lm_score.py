@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeframe.llm._common import id_and_text, tidy, write_shared
+from codeframe.llm._common import id_and_text, tidy, tidy_groups, write_shared
 from codeframe.llm._words import mix
 
 #: Weight of the unigram in a bigram estimate.
@@ -166,6 +166,7 @@ def _own(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _score(tokens: tuple[int, int], size: int):
     """Scores of a slice's texts from its counts. tokens: of the background and the target; size: of the vocabulary."""
 
+    @tidy_groups
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
         row = left.to_pylist()[0]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeframe.llm._common import id_and_text, salted, tidy, utf8, write_shared
+from codeframe.llm._common import id_and_text, salted, tidy, tidy_groups, utf8, write_shared
 from codeframe.llm._words import Hasher, mix
 
 LENGTH, GRAM = 200, 40
@@ -47,7 +47,7 @@ SLICE, PART_BYTES = 1 << 21, 1 << 24
 #: More surroundings than this of one key are split by their next bytes before they are sorted.
 GROUP_ROWS = 50_000
 #: Surroundings that are sorted together, and bytes that are scanned for anchors together.
-SORT_ROWS, SCAN_BYTES = 16_384, 1 << 20
+SORT_ROWS, SCAN_BYTES = 16_384, 1 << 19
 #: Depth of the multikey quicksort; longer common prefixes go to blind tries.
 SHALLOW_RIGHT, SHALLOW_LEFT = 64, 32
 #: Offsets of one key before splitting, after it, and after that.
@@ -520,6 +520,7 @@ def _tell(at: int):
     names = [x.split()[0] for x in AROUND_ROW.split(", ")] + ["told"]
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("slice", pa.int64()), ("a", pa.int64()), ("before", pa.int32()), ("alone", pa.bool_()), ("around", pa.binary()), ("told", pa.binary())])
 
+    @tidy_groups
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
@@ -563,6 +564,7 @@ def _with_spans(docs: DataFrame, group_rows: int, finish: Callable, schema) -> D
     none = F.lit(None)
     both = told.where("told is not null").select("slice", none.cast("long").alias("s"), none.cast("long").alias("e"), "told").unionByName(spans.withColumn("told", none.cast("binary")))
 
+    @tidy_groups
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t, data, offs = _text(left["rows"][0].as_py(), at)
         told = [np.frombuffer(x, np.int64).reshape(2, -1) for x in right["told"].drop_null().to_pylist()]
