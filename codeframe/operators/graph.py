@@ -23,14 +23,19 @@ def reverse(edges: DataFrame, externals: bool = False) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(hash, depth): what callers lead to from the roots in 1..depth steps, with the least number of steps.
 
-    A root that is reached again counts.  Each level joins a frontier without what was seen.
+    A root that is reached again counts.  Each level joins a frontier without what was seen; from
+    the third on levels are checkpointed, so that none is derived again from all before it.
     """
+    from codeframe.operators.incremental import cut_lineage
+
     frontier, seen = roots.select("hash").distinct(), None
     for d in range(1, depth + 1):
         step = frontier.join(edges, frontier["hash"] == edges["caller"]).select(F.col("callee").alias("hash")).distinct()
         if seen is not None:
             step = step.join(seen.select("hash"), "hash", "left_anti")
         step = step.withColumn("depth", F.lit(d).cast("long"))
+        if d >= 2 and d < depth:
+            step = cut_lineage(step)
         seen = step if seen is None else seen.unionByName(step)
         frontier = step.select("hash")
     return seen
@@ -61,16 +66,27 @@ def trace(edges: DataFrame, target: str, depth: int, direction: str = "out") ->
 
 
 def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """All simple cycles of 2..longest nodes, each once, from its least node on: path joined by '>' and its length."""
-    e = edges.where("caller <> callee")
-    paths = e.where(F.col("callee") > F.col("caller")).select(F.array("caller", "callee").alias("path"), F.col("callee").alias("last"))
+    """All simple cycles of 2..longest nodes, each once, from its least node on: path joined by '>' and its length.
+
+    A cycle is cut in two at its least node and about its middle: paths that lead there from the
+    least node meet paths that lead back, so only paths of half the length are enumerated.
+    """
+    e = edges.where("caller <> callee").select("caller", "callee")
+    # forward: root and the nodes after it; back: nodes before the root, the first is where both meet
+    forward = {1: e.where("callee > caller").select(F.col("caller").alias("root"), F.array("callee").alias("path"), F.col("callee").alias("at"))}
+    back = {1: e.where("caller > callee").select(F.col("callee").alias("root"), F.array("caller").alias("rest"), F.col("caller").alias("at"))}
+    for k in range(2, longest - longest // 2 + 1):
+        more = forward[k - 1].join(e, F.col("at") == F.col("caller")).where((F.col("callee") > F.col("root")) & ~F.array_contains("path", F.col("callee")))
+        forward[k] = more.select("root", F.concat("path", F.array("callee")).alias("path"), F.col("callee").alias("at"))
+    for k in range(2, longest // 2 + 1):
+        more = back[k - 1].join(e, F.col("at") == F.col("callee")).where((F.col("caller") > F.col("root")) & ~F.array_contains("rest", F.col("caller")))
+        back[k] = more.select("root", F.concat(F.array("caller"), "rest").alias("rest"), F.col("caller").alias("at"))
     out = None
     for n in range(2, longest + 1):
-        back = paths.join(e, (paths["last"] == e["caller"]) & (F.element_at("path", 1) == e["callee"])).select(F.array_join("path", ">").alias("path"), F.lit(n).cast("long").alias("length"))
-        out = back if out is None else out.unionByName(back)
-        if n < longest:
-            more = paths.join(e, paths["last"] == e["caller"]).where((F.col("callee") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("callee")))
-            paths = more.select(F.concat("path", F.array("callee")).alias("path"), F.col("callee").alias("last"))
+        met = forward[n - n // 2].join(back[n // 2], ["root", "at"])
+        rest = F.slice("rest", 2, max(n // 2 - 1, 1)) if n // 2 > 1 else F.array().cast("array<string>")
+        found = met.where(~F.arrays_overlap("path", rest)).select(F.array_join(F.concat(F.array("root"), "path", rest), ">").alias("path"), F.lit(n).cast("long").alias("length"))
+        out = found if out is None else out.unionByName(found)
     return out
 
 

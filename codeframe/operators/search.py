@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeframe.functions import paths, text
+from codeframe.functions import hashing, paths, text
 
 K1, B = 1.2, 0.75
 
@@ -73,15 +73,33 @@ def bm25_index(docs: DataFrame, id_col: str, terms: Column, counting: bool = Fal
 
 
 def bm25_search(terms: DataFrame, wanted: list[str], limit: int | None = None) -> DataFrame:
-    """id, score and matched terms (in the order of the query) of documents that have any wanted term.
+    """id, score and matched terms (in the order of the query) of documents of a stored index that have any wanted term.
 
-    One grouping of the terms by document gives its length and its wanted terms; corpus
-    size, mean length and document frequencies are one row over the same grouping, whose
-    exchange is reused, so the index is read once.
+    One grouping of the terms by document gives its length and its wanted terms.
     """
     words = F.array(*map(F.lit, wanted))
     hit = F.when(F.col("term").isin(wanted), F.struct(F.array_position(words, F.col("term")).cast("int").alias("at"), "term", "tf"))
-    per = terms.groupBy("id").agg(F.sum("tf").alias("dl"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    return _ranked(terms.groupBy("id").agg(F.sum("tf").alias("dl"), F.array_sort(F.collect_list(hit)).alias("hits")), wanted, limit)
+
+
+def bm25_search_texts(docs: DataFrame, id_col: str, terms: Column, wanted: list[str], counting: bool = False, limit: int | None = None) -> DataFrame:
+    """The same straight from texts: length and wanted terms are taken inside each row, so no term is shuffled.
+
+    ``terms`` is an array per row, distinct unless ``counting``; rows without terms are no documents.
+    """
+
+    def seen(t: Column) -> Column:
+        tf = lambda w: F.size(F.filter(t, lambda x: x == w)).cast("long") if counting else F.array_contains(t, w).cast("long")
+        each = F.array(*(F.struct(F.lit(i + 1).alias("at"), F.lit(w).alias("term"), tf(w).alias("tf")) for i, w in enumerate(wanted)))
+        return F.struct(F.size(t).cast("long").alias("dl"), F.filter(each, lambda h: h["tf"] > 0).alias("hits"))
+
+    per = docs.select(F.col(id_col).alias("id"), hashing._with(terms, seen).alias("x")).select("id", "x.dl", "x.hits").where("dl > 0")
+    # an exchange of three small columns, which both uses below share: texts are cut up once
+    return _ranked(per.repartition("id"), wanted, limit)
+
+
+def _ranked(per: DataFrame, wanted: list[str], limit: int | None) -> DataFrame:
+    """Scores of (id, dl, hits); corpus size, mean length and document frequencies are one row over the same exchange."""
     has = lambda w: F.exists("hits", lambda h: h["term"] == w)
     counts = [F.count_if(has(w)) for w in wanted]
     meta = per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*counts).alias("df"))
@@ -96,10 +114,10 @@ def bm25_search(terms: DataFrame, wanted: list[str], limit: int | None = None) -
     return out if limit is None else page(out, [F.desc("score"), "id"], limit)
 
 
-def related_terms(terms: DataFrame, wanted: list[str], limit: int) -> DataFrame:
-    """Terms that occur with a wanted one, by how many of those documents have them."""
-    docs = terms.where(F.col("term").isin(wanted)).select("id").distinct()
-    near = terms.join(docs, "id", "left_semi").where(~F.col("term").isin(wanted)).groupBy("term").agg(F.count("*").alias("docs"))
+def related_terms(docs: DataFrame, terms: Column, wanted: list[str], limit: int) -> DataFrame:
+    """Terms that occur with a wanted one, by how many of those documents have them; only these documents' terms move."""
+    words = F.array(*map(F.lit, wanted))
+    near = docs.select(terms.alias("terms")).where(F.arrays_overlap("terms", words)).select(F.explode(F.array_except("terms", words)).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
     return page(near, [F.desc("docs"), "term"], limit)
 
 

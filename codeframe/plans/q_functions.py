@@ -24,10 +24,10 @@ def c1(spark, d):
     return Views(spark, d).table("part").select("p_partkey", hashing.fnv1a_hex(F.col("p_name")).alias("fnv"))
 
 
-@query("C2_bm25_tokens", f"""select doc_id, array_to_string(list_distinct_ordered, ' ') as terms from (select doc_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) as list_distinct_ordered from
-    (select doc_id, list_filter(flatten(list_transform(list_filter(regexp_split_to_array(head, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_concat(list_transform(string_split(trim(regexp_replace(w, '(\\p{{Lu}})', ' \\1', 'g')), ' '), lambda x: x), [w]))), lambda x: strlen(x) >= 2 and lower(x) not in ({STOPS})) as raw, list_transform(raw, lambda x: lower(x)) as ws from (select doc_id, p_name_text as head from (select doc_id, text[1:400] as p_name_text from documents))))""")
+@query("C2_bm25_tokens", f"""select doc_id, array_to_string(list_distinct_ordered, ' ') as terms from (select doc_id, list_sort(list_distinct(ws)) as list_distinct_ordered from
+    (select doc_id, list_filter(flatten(list_transform(list_filter(regexp_split_to_array(head, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_concat(list_transform(string_split(trim(regexp_replace(w, '(\\p{{Lu}})', ' \\1', 'g')), ' '), lambda x: x), [w]))), lambda x: strlen(x) >= 2 and lower(x) not in ({STOPS})) as raw, list_transform(raw, lambda x: lower(x)) as ws from (select doc_id, text as head from documents)))""")
 def c2(spark, d):
-    return Views(spark, d).table("documents").select("doc_id", F.array_join(text.bm25_terms(F.substring("text", 1, 400)), " ").alias("terms"))
+    return Views(spark, d).table("documents").select("doc_id", F.array_join(F.array_sort(text.bm25_terms(F.col("text"))), " ").alias("terms"))
 
 
 _CAMEL = "case p_partkey % 4 when 0 then 'handleUser' || upper(p_name[1]) || p_name[2:3] when 1 then replace(p_name, ' ', '_') when 2 then replace(p_name, ' ', '-Http') else 'parseXMLDoc_' || p_partkey end"

@@ -31,23 +31,23 @@ def g3(spark, d):
     return graph.fan(v.pairs, v.symbols).where("fan_out > 10").select("hash", "symbol", "fan_out")
 
 
-@query("G4_orphans", "select hash from symbols where hash not in (select caller from sparse) and hash not in (select callee from sparse)")
+@query("G4_orphans", "select hash from symbols where hash not in (select caller from pairs) and hash not in (select callee from pairs)")
 def g4(spark, d):
     v = Views(spark, d)
-    e = v.sparse
+    e = v.pairs
     return v.symbols.select("hash").join(e.select(F.col("caller").alias("hash")).union(e.select("callee")).distinct(), "hash", "left_anti")
 
 
-@query("G5_entry_points", "select s.hash from symbols s join (select callee, count(*) as n from sparse group by 1) i on i.callee = s.hash left join (select caller, count(*) as n from sparse group by 1) o on o.caller = s.hash where i.n >= 3 and coalesce(o.n, 0) <= 2")
+@query("G5_entry_points", "select s.hash from symbols s join (select callee, count(*) as n from pairs group by 1) i on i.callee = s.hash left join (select caller, count(*) as n from pairs group by 1) o on o.caller = s.hash where i.n >= 3 and coalesce(o.n, 0) <= 2")
 def g5(spark, d):
     v = Views(spark, d)
-    return graph.fan(v.sparse, v.symbols).where("fan_in >= 3 and fan_out <= 2").select("hash")
+    return graph.fan(v.pairs, v.symbols).where("fan_in >= 3 and fan_out <= 2").select("hash")
 
 
-@query("G6_leaves", "select distinct s.hash from symbols s join sparse e on e.callee = s.hash where s.hash not in (select caller from sparse)")
+@query("G6_leaves", "select distinct s.hash from symbols s join pairs e on e.callee = s.hash where s.hash not in (select caller from pairs)")
 def g6(spark, d):
     v = Views(spark, d)
-    return graph.fan(v.sparse, v.symbols).where("fan_in > 0 and fan_out = 0").select("hash")
+    return graph.fan(v.pairs, v.symbols).where("fan_in > 0 and fan_out = 0").select("hash")
 
 
 @query("G7_complexity", "select doc_id, sum(1 + line % 4) as cognitive, max(line % 4) as max_nesting, 1 + count(*) as cyclomatic from lines group by 1")
@@ -91,13 +91,13 @@ def g12(spark, d):
     return metrics.complex_symbols(v.symbols, graph.fan(v.pairs, v.symbols))
 
 
-@query("G13_fan_out_fallback", """with own as (select caller as hash, count(*) as n from sparse group by 1), named as (select symbol, max(n) as n from symbols s join own o on o.hash = s.hash group by 1),
+@query("G13_fan_out_fallback", """with own as (select caller as hash, count(*) as n from pairs group by 1), named as (select symbol, max(n) as n from symbols s join own o on o.hash = s.hash group by 1),
     inside as (select a.hash, sum(o.n) as n from symbols a join symbols b on b.file = a.file and b.hash <> a.hash and b.start_line >= a.start_line and b.end_line <= a.end_line join own o on o.hash = b.hash group by 1),
     byfile as (select file, sum(n) as n from symbols s join own o on o.hash = s.hash group by 1)
     select s.hash, cast(coalesce(own.n, named.n, inside.n, case when kind = 'method' then byfile.n end, 0) as bigint) as fan_out from symbols s left join own on own.hash = s.hash left join named on named.symbol = s.symbol left join inside on inside.hash = s.hash left join byfile on byfile.file = s.file""")
 def g13(spark, d):
     v = Views(spark, d)
-    return metrics.fan_out_by_name(v.symbols, graph.fan(v.sparse, v.symbols))
+    return metrics.fan_out_by_name(v.symbols, graph.fan(v.pairs, v.symbols))
 
 
 @query("G15_module_edges", _MODULE_EDGES)
@@ -191,14 +191,14 @@ def g29(spark, d):
     return metrics.token_metrics(Views(spark, d).files)
 
 
-@query("G31_evolution", """with s as (select distinct p_size % 5 as step, caller, callee from sparse join part on cast(p_partkey as varchar) = caller) select a.step, count(*) as edges, sum(case when b.caller is null then 1 else 0 end) as new_edges
+@query("G31_evolution", """with s as (select distinct p_size % 5 as step, caller, callee from pairs join part on cast(p_partkey as varchar) = caller) select a.step, count(*) as edges, sum(case when b.caller is null then 1 else 0 end) as new_edges
     from s a left join s b on b.step + 1 = a.step and b.caller = a.caller and b.callee = a.callee group by 1""")
 def g31(spark, d):
     from codeframe.operators import diff
 
     v = Views(spark, d)
     size = v.table("part").select(F.col("p_partkey").cast("string").alias("caller"), (F.col("p_size") % 5).alias("step"))
-    return diff.evolution(v.sparse.join(size, "caller").select("step", "caller", "callee"))
+    return diff.evolution(v.pairs.join(size, "caller").select("step", "caller", "callee"))
 
 
 @query("G33_commit_prep", """select c.path, c.change_type, count(l_orderkey) as plus, coalesce(sum(case when l_returnflag = 'R' then 1 else 0 end), 0) as minus, case when c.change_type = 'deleted' then 'file was deleted' end as error
@@ -220,10 +220,10 @@ def g35(spark, d):
     return Views(spark, d).symbols.rollup("module", "risk").agg(F.count("*").alias("n"))
 
 
-@query("J2_named_edges", "select caller, callee, coalesce(symbol, callee) as callee_name, coalesce(risk, 'unknown') as callee_risk from (select * from sparse union all select * from externals) e left join symbols s on s.hash = e.callee")
+@query("J2_named_edges", "select caller, callee, coalesce(symbol, callee) as callee_name, coalesce(risk, 'unknown') as callee_risk from (select * from pairs union all select * from externals) e left join symbols s on s.hash = e.callee")
 def j2(spark, d):
     v = Views(spark, d)
-    return graph.with_names(v.sparse.unionByName(v.externals), v.symbols)
+    return graph.with_names(v.pairs.unionByName(v.externals), v.symbols)
 
 
 @query("J4_resolve_calls", """with near as (select symbol, file, min(hash) as hash from symbols group by 1, 2), anywhere as (select symbol, min(hash) as hash from symbols group by 1),
@@ -261,12 +261,12 @@ def n4(spark, d):
     return graph.reverse(Views(spark, d).edges)
 
 
-_WALK = "with recursive walk as (select {a} as hash, 1 as depth from sparse where {b} = '17' union select e.{a}, depth + 1 from walk join sparse e on e.{b} = walk.hash where depth < 3)"
+_WALK = "with recursive walk as (select {a} as hash, 1 as depth from pairs where {b} = '17' union select e.{a}, depth + 1 from walk join pairs e on e.{b} = walk.hash where depth < 3)"
 
 
 @query("N5_callers", _WALK.format(a="caller", b="callee") + " select hash, cast(min(depth) as bigint) as depth from walk group by 1")
 def n5(spark, d):
-    return graph.callers(Views(spark, d).sparse, "17", 3)
+    return graph.callers(Views(spark, d).pairs, "17", 3)
 
 
 @query("N6_direct_callers", "select e.caller as hash, s.symbol, s.risk = 'high' as high_risk from pairs e join symbols s on s.hash = e.caller where e.callee = '17' order by s.symbol, e.caller limit 20")
@@ -276,9 +276,9 @@ def n6(spark, d):
     return page(c.select("hash", "symbol", (F.col("risk") == "high").alias("high_risk")), ["symbol", "hash"], 20)
 
 
-@query("N7_trace", "with recursive walk as (select '17' as hash, 0 as depth union select e.callee, depth + 1 from walk join sparse e on e.caller = walk.hash where depth < 2), near as (select hash, min(depth) as depth from walk group by 1) select e.caller, e.callee, cast(depth as bigint) as level from near join sparse e on e.caller = near.hash")
+@query("N7_trace", "with recursive walk as (select '17' as hash, 0 as depth union select e.callee, depth + 1 from walk join pairs e on e.caller = walk.hash where depth < 2), near as (select hash, min(depth) as depth from walk group by 1) select e.caller, e.callee, cast(depth as bigint) as level from near join pairs e on e.caller = near.hash")
 def n7(spark, d):
-    return graph.trace(Views(spark, d).sparse, "17", 2)
+    return graph.trace(Views(spark, d).pairs, "17", 2)
 
 
 @query("N8_roots", "select hash from symbols where symbol = 'hot_gear' order by hash limit 200")
@@ -295,7 +295,7 @@ def n9(spark, d):
 
 @query("N10_symbol_tree", _WALK.format(a="callee", b="caller") + " select hash, cast(min(depth) as bigint) as depth from walk group by 1")
 def n10(spark, d):
-    return graph.reach(Views(spark, d).sparse, spark.createDataFrame([("17",)], "hash string"), 3)
+    return graph.reach(Views(spark, d).pairs, spark.createDataFrame([("17",)], "hash string"), 3)
 
 
 @query("N11_callees", "select callee from pairs where caller = '17'")
@@ -303,13 +303,19 @@ def n11(spark, d):
     return Views(spark, d).pairs.where("caller = '17'").select("callee")
 
 
-@query("N12_cycles", """with e as (select * from sparse where caller <> callee)
-    select a.caller || '>' || a.callee as path, cast(2 as bigint) as length from e a join e b on b.caller = a.callee and b.callee = a.caller where a.caller < a.callee
-    union all select a.caller || '>' || b.caller || '>' || c.caller, 3 from e a join e b on b.caller = a.callee join e c on c.caller = b.callee and c.callee = a.caller where b.caller > a.caller and c.caller > a.caller and b.caller <> c.caller
-    union all select a.caller || '>' || b.caller || '>' || c.caller || '>' || f.caller, 4 from e a join e b on b.caller = a.callee join e c on c.caller = b.callee join e f on f.caller = c.callee and f.callee = a.caller
-      where b.caller > a.caller and c.caller > a.caller and f.caller > a.caller and b.caller <> c.caller and b.caller <> f.caller and c.caller <> f.caller""")
+_CYCLE = """with e as (select * from pairs where caller <> callee), b1 as (select caller as last, callee as root from e where caller > callee),
+    b2 as (select e.caller as last, e.callee as before, b1.root from e join b1 on b1.last = e.callee where e.caller > b1.root),
+    f2 as (select x.caller as root, x.callee as p, y.callee as q from e x join e y on y.caller = x.callee where x.callee > x.caller and y.callee > x.caller),
+    f3 as (select f2.*, e.callee as r from f2 join e on e.caller = f2.q where e.callee > f2.root and e.callee <> f2.p)
+    select e.caller || '>' || e.callee as path, cast(2 as bigint) as length from e join b1 on b1.root = e.caller and b1.last = e.callee
+    union all select f2.root || '>' || p || '>' || q, 3 from f2 join b1 on b1.root = f2.root and b1.last = q
+    union all select f2.root || '>' || p || '>' || q || '>' || before, 4 from f2 join b2 on b2.root = f2.root and b2.last = q where before <> p
+    union all select f3.root || '>' || p || '>' || q || '>' || r || '>' || before, 5 from f3 join b2 on b2.root = f3.root and b2.last = r where before <> p and before <> q"""
+
+
+@query("N12_cycles", _CYCLE)
 def n12(spark, d):
-    return graph.cycles(Views(spark, d).sparse, 4)
+    return graph.cycles(Views(spark, d).pairs, 5)
 
 
 @query("N13_self_recursion", "select caller as hash from pairs where caller = callee")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeframe.functions import hashing, paths, rules, text
 from codeframe.operators import reports, search
+from codeframe.plans.q_store import _ALL
 from codeframe.plans.registry import query
 from codeframe.plans.views import Views
 
@@ -59,11 +60,11 @@ def o17(spark, d):
     return reports.layer_staleness(x, F.lit("2024-01-25 00:00:00").cast("timestamp"), 3600)
 
 
-@query("O18_duplicate_alerts")
+@query("O18_duplicate_alerts", f"with p as ({_ALL.format('true', '0.9')}) select a as known_id, b as new_id, similarity from p where b % 7 = 0 and a % 7 <> 0 union all select b, a, similarity from p where a % 7 = 0 and b % 7 <> 0")
 def o18(spark, d):
-    """New signatures (ids divisible by 7) against the others; fingerprints have no cheap form in SQL."""
+    """New signatures (ids divisible by 7) against the others."""
     s = Views(spark, d).signatures
-    return reports.alerts(s.where("doc_id % 7 = 0"), s.where("doc_id % 7 <> 0"))
+    return reports.alerts(s.where("doc_id % 7 = 0"), s.where("doc_id % 7 <> 0")).select("known_id", "new_id", "similarity")
 
 
 @query("D17_explanation", "select a, b, case when cosine >= 0.9 then 'very similar' when cosine >= 0.6 then 'similar' else 'different' end || case when chi <= 0.05 then ' with the same mix of languages' else ' with another mix of languages' end as explanation from (select p_partkey as a, p_size as b, p_size / 50.0::double as cosine, p_partkey % 10 / 100.0::double as chi from part)")
@@ -97,8 +98,8 @@ def c44(spark, d):
 @query("J1_terms_documents", "select term, count(*) as n, sum(n_chars) as chars from terms join documents using (doc_id) where term in ('thanedble', 'attion', 'the') group by 1")
 def j1(spark, d):
     v = Views(spark, d)
-    t, _ = search.bm25_index(v.files, "doc_id", text.bm25_terms(F.lower("text")))
-    hit = t.where(F.col("term").isin("thanedble", "attion", "the"))
+    some = F.array_intersect(text.bm25_terms(F.lower("text")), F.array(*map(F.lit, ["thanedble", "attion", "the"])))
+    hit = v.files.select(F.col("doc_id").alias("id"), F.explode(some).alias("term"))
     return hit.join(v.table("documents").select(F.col("doc_id").alias("id"), "n_chars"), "id").groupBy("term").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 

@@ -113,14 +113,13 @@ def x7(spark, d):
     return overlay.running_state(Views(spark, d).layers).select("seq", "hash", "version")
 
 
-@query("X4_throttle_batch", """with recursive r as (select event_type, ts, row_number() over (partition by event_type order by ts, event_id) as n, event_id from events where event_type in ('signup', 'purchase')),
+@query("X4_throttle_batch", """with recursive r as (select event_type, ts, row_number() over (partition by event_type order by ts, event_id) as n, event_id from events),
     w as (select event_type, ts, n, event_id, ts as last, true as emitted from r where n = 1 union all select r.event_type, r.ts, r.n, r.event_id, case when r.ts >= w.last + interval 1 hour then r.ts else w.last end, r.ts >= w.last + interval 1 hour from w join r on r.event_type = w.event_type and r.n = w.n + 1)
     select event_id, event_type from w where emitted""")
 def x4(spark, d):
     from codeframe.streaming import events
 
-    e = Views(spark, d).table("events").where("event_type in ('signup', 'purchase')")
-    return events.throttle_batch(e, "event_type", "ts", "event_id", 3600.0).select("event_id", "event_type")
+    return events.throttle_batch(Views(spark, d).table("events"), "event_type", "ts", "event_id", 3600.0).select("event_id", "event_type")
 
 
 @query("X5_debounce_windows", "select time_bucket(interval 1 hour, ts) as start, count(distinct user_id) as paths from events group by 1")
@@ -135,9 +134,8 @@ def x8(spark, d):
     return Views(spark, d).table("events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.col("user_id").alias("user")).alias("payload"))).alias("event"))
 
 
-_SIM = """round(case when len(list_distinct(list_concat(a.calls, b.calls))) = 0 then 1.0 else len(list_intersect(list_distinct(a.calls), list_distinct(b.calls))) / len(list_distinct(list_concat(a.calls, b.calls))) end * 0.45::double
-    + case when len(list_distinct(list_concat(a.names, b.names))) = 0 then 1.0 else len(list_intersect(list_distinct(a.names), list_distinct(b.names))) / len(list_distinct(list_concat(a.names, b.names))) end * 0.20::double
-    + (1.0::double - bit_count(xor(a.params, b.params)) / 64.0::double) * 0.20::double, 6)"""
+_J = "case when len(a.{0}) + len(b.{0}) = 0 then 1.0::double else len(list_intersect(a.{0}, b.{0})) / (len(a.{0}) + len(b.{0}) - len(list_intersect(a.{0}, b.{0}))) end"
+_SIM = f"round({_J.format('calls')} * 0.45::double + {_J.format('names')} * 0.20::double + (1.0::double - bit_count(xor(a.params, b.params)) / 64.0::double) * 0.20::double + (1.0::double - bit_count(xor(a.state_fp, b.state_fp)) / 64.0::double) * 0.15::double, 6)"
 
 
 @query("D1_signatures", "select doc_id, array_to_string(calls, ' ') as calls, array_to_string(names, ' ') as names, params from signatures")
@@ -145,13 +143,19 @@ def d1(spark, d):
     return Views(spark, d).signatures.select("doc_id", F.array_join("calls", " ").alias("calls"), F.array_join("names", " ").alias("names"), "params")
 
 
-_REPS = "select calls, names, params, min(doc_id) as doc_id from signatures group by 1, 2, 3"
-_PAIRS = f"select a.doc_id as a, b.doc_id as b, {_SIM} as similarity from ({_REPS}) a join ({_REPS}) b on list_sort(a.calls) = list_sort(b.calls) and a.doc_id < b.doc_id and abs(a.params - b.params) <= 2"
+_REPS = "select calls, names, params, any_value(call_fp) as call_fp, any_value(state_fp) as state_fp, min(doc_id) as doc_id from sigfp group by 1, 2, 3"
+_COARSE = "a.doc_id < b.doc_id and abs(a.params - b.params) <= 2 and abs(len(a.calls) - len(b.calls)) <= 3"
+_ALL = f"select * from (select a.doc_id as a, b.doc_id as b, {_SIM} as similarity from ({_REPS}) a join ({_REPS}) b on {_COARSE} and {{0}}) where similarity >= {{1}}"
+_PAIRS = _ALL.format("bit_count(xor(a.call_fp, b.call_fp)) <= 12", "0.8")
 
 
-@query("D2_candidates", f"select a, b from ({_PAIRS})")
+def _candidates(spark, d):
+    return duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures))
+
+
+@query("D2_candidates", _PAIRS)
 def d2(spark, d):
-    return duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures)).select("a", "b")
+    return _candidates(spark, d)
 
 
 @query("D3_classes", "select s.doc_id, r.doc_id as class_id, copies from signatures s join (select calls, names, params, min(doc_id) as doc_id, count(*) as copies from signatures group by 1, 2, 3) r on r.calls = s.calls and r.names = s.names and r.params = s.params")
@@ -159,31 +163,34 @@ def d3(spark, d):
     return duplicates.classes(Views(spark, d).signatures)
 
 
-@query("D4_near_pairs")
+@query("D4_near_pairs", f"select a, b, similarity, case when similarity >= 0.98 then 'exact' when similarity >= 0.90 then 'near' else 'divergent' end as kind from ({_PAIRS})")
 def d4(spark, d):
-    """Pairs within 12 bits and a similarity of 0.80; the fingerprints have no cheap form in SQL."""
-    return duplicates.kinds(duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures), 12), 0.90)
+    return duplicates.kinds(_candidates(spark, d), 0.90)
 
 
-_CL = "with recursive e as (select distinct a, b from ({p})), v as (select a as x from e union select b from e) "
+@query("D4_similar_at_any_distance", _ALL.format("true", "0.8"))
+def d4a(spark, d):
+    """Without the fingerprints, which are equal or differ by chance: what the similarity alone calls near."""
+    return duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures), 64)
 
 
-@query("D6_primaries", f"select b as member, min(a) as primary from ({_PAIRS}) where a not in (select b from ({_PAIRS})) group by 1")
+@query("D6_primaries", f"with p as ({_PAIRS}) select b as member, min(a) as primary from p where a not in (select b from p) group by 1")
 def d6(spark, d):
-    p = duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures))
+    p = _candidates(spark, d)
     first = p.join(p.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     return first.groupBy(F.col("b").alias("member")).agg(F.min("a").alias("primary"))
 
 
 @query("D6_greedy_clusters")
 def d6g(spark, d):
-    return duplicates.greedy_clusters(duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures)))
+    """In order of ids, which SQL cannot follow; the tests compare with a loop."""
+    return duplicates.greedy_clusters(duplicates.candidate_pairs(duplicates.signatures(Views(spark, d).signatures), 64))
 
 
-@query("G25_rollup_by_module", f"select module, count(*) as pairs from ({_PAIRS}) join signatures s on s.doc_id = a group by 1 order by pairs desc, module limit 5")
+@query("G25_rollup_by_module", f"select module, count(*) as pairs, min(similarity) as least, max(similarity) as most from ({_ALL.format('true', '0.8')}) join signatures s on s.doc_id = a group by 1 order by pairs desc, module limit 5")
 def g25(spark, d):
     s = Views(spark, d).signatures
-    return duplicates.rollup_by_module(duplicates.candidate_pairs(duplicates.signatures(s)), s).select("module", "pairs")
+    return duplicates.rollup_by_module(duplicates.candidate_pairs(duplicates.signatures(s), 64), s)
 
 
 @query("D10_severity", "select p_partkey, case when s >= 9 then 'critical' when s >= 7 then 'high' when s >= 4 then 'medium' when s > 0 then 'low' else 'none' end as severity from (select p_partkey, p_size / 5.0::double as s from part)")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: FNV-1a 64 of a string's UTF-8 bytes as a number.
+FNV_NUMBER = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(list_filter(string_split(regexp_replace(hex(encode({0})), '(..)', '\\1 ', 'g'), ' '), lambda x: x <> ''), lambda x: cast(('0x' || x) as HUGEINT))), lambda h, y: (xor(h, y) * 1099511628211) % 18446744073709551616)"
 #: Common table expressions for DuckDB; each may use those above it.
 VIEWS: dict[str, str] = {
     "files": "select doc_id, 'src/' || source || '/' || lang || '/doc' || doc_id || '.txt' as file, lang as language, source, text, n_chars from documents",
@@ -23,9 +25,7 @@ VIEWS: dict[str, str] = {
     "edges": """select distinct cast(a.l_partkey as varchar) as caller, cast(b.l_partkey as varchar) as callee, case a.l_returnflag when 'A' then 'call' when 'N' then 'read' else 'write' end as edge_kind
         from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1""",
     "pairs": "select distinct caller, callee from edges",
-    "sparse": """select distinct cast(a.l_partkey as varchar) as caller, cast(b.l_partkey as varchar) as callee
-        from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_linenumber = 1 and a.l_returnflag = 'A'""",
-    "externals": "select distinct cast(l.l_partkey as varchar) as caller, 'ext:' || n_name || ':' || s_name as callee from lineitem l join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where l_linenumber = 1",
+    "externals": "select distinct cast(l.l_partkey as varchar) as caller, 'ext:' || n_name || ':' || s_name as callee from lineitem l join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey",
     "fan": """select s.hash, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out from symbols s
         left join (select callee, count(*) as n from pairs group by 1) i on i.callee = s.hash left join (select caller, count(*) as n from pairs group by 1) o on o.caller = s.hash""",
     "layers": """select event_id as seq, cast(user_id as varchar) as hash, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then 2 when 'signup' then 3 else cast(floor(value) as bigint) % 4 end as layer,
@@ -34,8 +34,9 @@ VIEWS: dict[str, str] = {
     "changes": "select 'src/o' || o_orderkey || '.ts' as path, case o_orderstatus when 'P' then 'modified' when 'O' then 'added' else 'deleted' end as change_type, o_orderpriority as language, o_orderkey from orders",
     "terms": """select distinct doc_id, lower(w) as term from (select doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+')) as w from documents) where strlen(w) >= 2
         and lower(w) not in ('and','are','an','as','at','a','by','be','for','if','is','in','it','of','on','or','the','to','was','with','const','fn','impl','let','mut','pub','self','var','e','i','j','k','n','s','t','x','y')""",
-    "signatures": """select doc_id, source as module, words[1:12] as calls, list_sort(words[13:16]) as names, cast(n_chars % 8 as bigint) as params from (select doc_id, source, n_chars,
-        list_filter(string_split(regexp_replace(text, '[\\s]+', ' ', 'g'), ' '), lambda w: w <> '')[1:16] as words from documents)""",
+    "signatures": """select doc_id, source as module, list_sort(list_filter(words, lambda w: not regexp_matches(w, '^\\p{Lu}'))) as calls, list_sort(list_filter(words, lambda w: regexp_matches(w, '^\\p{Lu}'))) as names, cast(n_chars % 8 as bigint) as params
+        from (select doc_id, source, n_chars, list_distinct(list_filter(string_split(regexp_replace(text, '[\\s]+', ' ', 'g'), ' '), lambda w: w <> '')) as words from documents)""",
+    "sigfp": f"select *, {FNV_NUMBER.format("array_to_string(calls, '|')")} as call_fp, {FNV_NUMBER.format("array_to_string(names, '|')")} as state_fp from signatures",
     "repos": "select source as repo, count(*) as files, sum(n_chars) as chars, count(distinct lang) as languages, max(n_chars) as largest, sum(case when lang = 'en' then 1 else 0 end) as en, sum(case when lang = 'de' then 1 else 0 end) as de, sum(case when lang = 'fr' then 1 else 0 end) as fr, sum(case when lang = 'es' then 1 else 0 end) as es from documents group by 1",
 }
 

@@ -44,10 +44,9 @@ class Views:
             size.cast("long").alias("cognitive"), (size % 7).cast("long").alias("nesting"), (key % 3 == 0).alias("is_exported"), (key % 11 == 0).alias("is_escape_local"), (key % 5).cast("long").alias("arity"),
         )
 
-    def _neighbours(self, where: Column | None = None) -> DataFrame:
+    def _neighbours(self) -> DataFrame:
         items = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-        a = items if where is None else items.where(where)
-        a = a.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").cast("string").alias("caller"), "l_returnflag")
+        a = items.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").cast("string").alias("caller"), "l_returnflag")
         b = items.select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("callee"))
         return a.join(b, ["l_orderkey", "l_linenumber"])
 
@@ -60,13 +59,9 @@ class Views:
     def pairs(self) -> DataFrame:
         return self._neighbours().select("caller", "callee").distinct()
 
-    @property
-    def sparse(self) -> DataFrame:
-        return self._neighbours((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "A")).select("caller", "callee").distinct()
-
     @property
     def externals(self) -> DataFrame:
-        items = self.table("lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey")
+        items = self.table("lineitem").select("l_partkey", "l_suppkey")
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws(":", F.lit("ext"), "n_name", "s_name").alias("callee"))
         return items.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").cast("string").alias("caller"), "callee").distinct()
 
@@ -87,10 +82,11 @@ class Views:
 
     @property
     def signatures(self) -> DataFrame:
-        words = F.slice(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""), 1, 16)
-        return self.table("documents").select("doc_id", F.col("source").alias("module"), words.alias("w"), (F.col("n_chars") % 8).alias("params")).select(
-            "doc_id", "module", F.slice("w", 1, 12).alias("calls"), F.array_sort(F.slice("w", 13, 4)).alias("names"), "params"
-        )
+        """Of every whole text its distinct words: those that begin with a capital are names, the others calls."""
+        words = F.array_distinct(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
+        rows = self.table("documents").select("doc_id", F.col("source").alias("module"), words.alias("w"), (F.col("n_chars") % 8).alias("params"))
+        part = lambda named: F.array_sort(F.filter("w", lambda x: x.rlike(r"^\p{Lu}") == F.lit(named)))
+        return rows.select("doc_id", "module", part(False).alias("calls"), part(True).alias("names"), "params")
 
     @property
     def repos(self) -> DataFrame:

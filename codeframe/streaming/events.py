@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,16 +26,25 @@ def throttle_batch(events: DataFrame, key: str, ts: str, order: str, seconds: fl
     """
     schema = events.schema
 
+    gap = np.timedelta64(round(seconds * 1e9), "ns")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last = None, None
         for b in batches:
-            keep = []
-            for k, t in zip(b[key], b[ts]):
-                if k != last_key or last is None or (t - last).total_seconds() >= seconds:
-                    keep.append(True)
-                    last_key, last = k, t
-                else:
-                    keep.append(False)
+            times, keep = b[ts].to_numpy().astype("datetime64[ns]"), np.zeros(len(b), bool)
+            new = np.append(True, b[key].to_numpy()[1:] != b[key].to_numpy()[:-1])
+            starts = np.append(np.nonzero(new)[0], len(b))
+            for s, e in zip(starts[:-1], starts[1:]):
+                k = b[key].iloc[s]
+                # from one emitted event straight to the next that may be
+                at = s if k != last_key or last is None else s + np.searchsorted(times[s:e], last + gap)
+                while at < e:
+                    keep[at] = True
+                    last = times[at]
+                    at = s + np.searchsorted(times[s:e], last + gap)
+                if k != last_key and not keep[s:e].any():
+                    last = None
+                last_key = k
             yield b[keep]
 
     return events.repartition(key).sortWithinPartitions(key, ts, order).mapInPandas(run, schema)
