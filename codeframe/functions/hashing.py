@@ -19,13 +19,9 @@ def _with(value: Column, use) -> Column:
 
 
 def utf8_bytes(s: Column) -> Column:
-    """Bytes of a string as an array of longs; empty for the empty string."""
-
-    def each(raw: Column) -> Column:
-        byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long")
-        return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(raw)), byte))
-
-    return _with(F.encode(s, "utf-8"), each)
+    """Bytes of a string as an array of longs; empty for the empty string.  Each byte is a character of Latin-1."""
+    chars = F.split(F.decode(F.encode(s, "utf-8"), "iso-8859-1"), "")
+    return F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
 
 def _state(s: Column) -> Column:

@@ -93,9 +93,9 @@ def bm25_search_texts(docs: DataFrame, id_col: str, terms: Column, wanted: list[
         each = F.array(*(F.struct(F.lit(i + 1).alias("at"), F.lit(w).alias("term"), tf(w).alias("tf")) for i, w in enumerate(wanted)))
         return F.struct(F.size(t).cast("long").alias("dl"), F.filter(each, lambda h: h["tf"] > 0).alias("hits"))
 
-    per = docs.select(F.col(id_col).alias("id"), hashing._with(terms, seen).alias("x")).select("id", "x.dl", "x.hits").where("dl > 0")
-    # an exchange of three small columns, which both uses below share: texts are cut up once
-    return _ranked(per.repartition("id"), wanted, limit)
+    each = docs.select(F.col(id_col).alias("id"), hashing._with(terms, seen).alias("x"))
+    # ids are unique; grouping by them is an exchange of small rows that both uses below share, and keeps filters from cutting up texts again
+    return _ranked(each.groupBy("id").agg(F.max("x").alias("x")).select("id", "x.dl", "x.hits").where("dl > 0"), wanted, limit)
 
 
 def _ranked(per: DataFrame, wanted: list[str], limit: int | None) -> DataFrame:
