@@ -105,14 +105,18 @@ def with_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls (file, name) to hashes: the exact name, in the same file first, else the least hash; else ``ext:name``.
+    """Calls (file, name) to hashes: the exact name, else what follows its last dot; of several symbols one in the same file first, else the least hash; else ``ext:name``.
 
     Candidates are reduced per (name, file) and per name before the joins, so a name with
     very many symbols sends one row.
     """
-    by_file = symbols.groupBy(F.col("symbol").alias("name"), "file").agg(F.min("hash").alias("near"))
-    by_name = symbols.groupBy(F.col("symbol").alias("name")).agg(F.min("hash").alias("any"))
-    return calls.join(by_file, ["name", "file"], "left").join(by_name, "name", "left").select("file", "name", F.coalesce("near", "any", F.concat(F.lit("ext:"), F.col("name"))).alias("callee"))
+    by_file = symbols.groupBy(F.col("symbol").alias("known"), "file").agg(F.min("hash").alias("near"))
+    by_name = symbols.groupBy(F.col("symbol").alias("known")).agg(F.min("hash").alias("any"))
+    tries = F.array_distinct(F.array(F.col("name"), F.regexp_extract("name", r"([^.]*)$", 1)))
+    each = calls.select("file", "name", F.posexplode(tries).alias("turn", "known"))
+    found = each.join(by_file, ["known", "file"], "left").join(by_name, "known", "left").withColumn("hit", F.coalesce("near", "any"))
+    best = found.groupBy("file", "name").agg(F.min(F.when(F.col("hit").isNotNull(), F.struct("turn", "hit")))["hit"].alias("hit"))
+    return best.select("file", "name", F.coalesce("hit", F.concat(F.lit("ext:"), F.col("name"))).alias("callee"))
 
 
 def stats(edges: DataFrame) -> DataFrame:
