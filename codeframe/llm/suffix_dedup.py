@@ -131,25 +131,28 @@ _SEVERAL, _MARK, _MIXED = 1, 2, 4
 NOTHING, WHOLE, ALONE, SENDS = 0, 1, 2, 3
 
 
-def asks(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What a slice asks, ordered by route: route, kh, ch, flags, and the class (-1: a mark).
+def asks(c: dict[str, np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a slice asks, ordered by partition and kh: partition, kh, ch, flags, and the class (-1: a mark).
 
     A gram with one class here goes by its own hash, so a partition gets it once a slice.  One with
-    several may be hot: its classes are spread by both hashes, and a mark goes by the gram's.
+    several may be hot: its classes are spread by both hashes, and a mark goes by the gram's.  Hashes
+    of anchors are the least of many, so they are mixed again: else nearly all go to one partition.
     """
     kh, ch = c["kh"], c["ch"]
     gram, which, count = np.unique(kh, return_inverse=True, return_counts=True)
     mixed = count[which] > 1
     marks = gram[count > 1]
-    route = np.concatenate([np.where(mixed, mix(kh ^ mix(ch + _U(1))), kh), marks])
+    part = _part(np.concatenate([np.where(mixed, mix(kh ^ mix(ch + _U(1))), mix(kh)), mix(marks)]), parts)
     flags = np.concatenate([c["several"] * _SEVERAL + mixed * _MIXED, np.full(len(marks), _MARK)]).astype(np.uint8)
-    order = np.argsort(route, kind="stable")
     cls = np.concatenate([np.arange(len(kh)), np.full(len(marks), -1)])
-    return route[order], np.concatenate([kh, marks])[order], np.concatenate([ch, np.zeros(len(marks), _U)])[order], flags[order], cls[order]
+    kh = np.concatenate([kh, marks])
+    order = np.lexsort((kh, part))
+    return part[order], kh[order], np.concatenate([ch, np.zeros(len(marks), _U)])[order], flags[order], cls[order]
 
 
-def _cuts(route: np.ndarray, parts: int) -> list[int]:
-    return [0, *np.searchsorted(route, np.array([(p << 64) // parts for p in range(1, parts)], _U)).tolist(), len(route)]
+def _part(route: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions, of at most 2**31, by the first half of a hash."""
+    return ((route >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -495,8 +498,8 @@ def _ask(parts: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, number in enumerate(b.column(0).to_pylist()):
-                route, kh, ch, flags, _ = asks(entries(*_text(b.column(1)[i].as_py(), at)[1:]))
-                cut = _cuts(route, parts)
+                part, kh, ch, flags, _ = asks(entries(*_text(b.column(1)[i].as_py(), at)[1:]), parts)
+                cut = np.searchsorted(part, np.arange(parts + 1)).tolist()
                 rows = [(p, number, _planes(kh[x:y]), ch[x:y].tobytes(), flags[x:y].tobytes()) for p, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
                 if rows:
                     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -515,7 +518,7 @@ def _answer_part(asked: pa.Table) -> pa.Table:
     return pa.table([asked["part"], asked["slice"], pa.array([got[e - n : e].tobytes() for e, n in zip(ends, size)], pa.binary())], names=["part", "slice", "answers"])
 
 
-def _tell(at: int):
+def _tell(parts: int, at: int):
     """A slice with its answers: the spans that repeat outright (packed), and surroundings that have to be matched."""
     names = [x.split()[0] for x in AROUND_ROW.split(", ")] + ["told"]
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("slice", pa.int64()), ("a", pa.int64()), ("before", pa.int32()), ("alone", pa.bool_()), ("around", pa.binary()), ("told", pa.binary())])
@@ -527,7 +530,7 @@ def _tell(at: int):
         number = left["slice"][0].as_py()
         _, data, offs = _text(left["rows"][0].as_py(), at)
         c = entries(data, offs)
-        _, _, _, _, cls = asks(c)
+        _, _, _, _, cls = asks(c, parts)
         got = np.frombuffer(b"".join(right.sort_by("part")["answers"].to_pylist()), np.uint8)
         code = np.zeros(len(c["kh"]), np.uint8)
         code[cls[cls >= 0]] = got[cls >= 0]
@@ -556,9 +559,10 @@ def _with_spans(docs: DataFrame, group_rows: int, finish: Callable, schema) -> D
     at = docs.columns.index("text")
     slices = _slices(docs)
     n = slices.agg(F.sum("bytes")).first()[0] or 0
-    asked = slices.select("slice", "rows").mapInArrow(_ask(max(1, -(-n // PART_BYTES)), at), "part int, slice long, kh binary, ch binary, flags binary")
+    parts = max(1, -(-n // PART_BYTES))
+    asked = slices.select("slice", "rows").mapInArrow(_ask(parts, at), "part int, slice long, kh binary, ch binary, flags binary")
     answers = asked.groupBy("part").applyInArrow(_answer_part, "part int, slice long, answers binary")
-    told = slices.select("slice", "rows").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_tell(at), AROUND_ROW + ", told binary")
+    told = slices.select("slice", "rows").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_tell(parts, at), AROUND_ROW + ", told binary")
     told = write_shared(told, "dedup-surroundings")
     spans = matched_spans(told.where("told is null").drop("told"), group_rows)
     none = F.lit(None)

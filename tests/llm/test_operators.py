@@ -158,6 +158,25 @@ def test_rows_of_equal_id_and_crc_stay_apart(spark, ids):
     assert sorted(map(tuple, got.collect()), key=str) == brute_repeats(rows)
 
 
+def test_partitions_of_grams_are_even(spark, monkeypatch):
+    """Anchors are grams of least hash; by that hash itself nearly all of them went to the first partition."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 1 << 18).astype(np.uint8)
+    data[-3000:] = data[:3000]
+    c = suffix_dedup.entries(data, np.array([0, 1 << 17, 1 << 18]))
+    part, kh, _, _, cls = suffix_dedup.asks(c, 16)
+    size = np.bincount(part, minlength=16)
+    assert sorted(cls[cls >= 0].tolist()) == list(range(len(c["kh"])))
+    assert size.sum() == len(part) == len(kh) and size.max() < 1.5 * size.mean()
+    for x in np.split(kh, np.cumsum(size)[:-1]):
+        assert (x[1:] >= x[:-1]).all()
+    # results with many partitions and slices
+    monkeypatch.setattr(suffix_dedup, "SLICE", 2000)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 3000)
+    rows = planted()
+    assert sorted(map(tuple, suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute_repeats(rows)
+
+
 def test_multikey_quicksort_equals_lexsort():
     r = np.random.RandomState(3)
     words = r.randint(0, 4, (3000, 3)).astype(np.uint64)
