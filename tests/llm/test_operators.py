@@ -708,3 +708,42 @@ def test_lm_models_every_word(spark):
             terms = [-np.log((c[p, w] - k * own[p, w] + 20 * (word[m][w] - k * own_w[w] + 1) / (total[m] - k * len(mine) + size)) / (previous[m][p] - k * own_p[p] + 20)) for p, w in mine]
             loss[m] = np.mean(terms) if terms else 0.0
         assert got[i].n_tokens == len(t.split()) and abs(got[i].target_loss - loss[0]) < 1e-9 and abs(got[i].background_loss - loss[1]) < 1e-9
+
+
+def test_lm_moves_no_text_and_few_rows(spark, monkeypatch):
+    """Texts were shuffled to meet many labels, and every slice met every partition twice: rows grew with the square of the corpus."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").select("doc_id", "text").coalesce(2)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    want = sorted(map(tuple, lm_score.score(docs, labels).collect()))
+    plain = lm_score.write_shared
+    for limit in (lm_score.BROADCAST_BYTES, 0):
+        made = {}
+
+        def keep(df, name, *rest):
+            made[name] = plain(df, name, *rest)
+            made[name + " plan"] = df._jdf.queryExecution().executedPlan().toString()
+            return made[name]
+
+        monkeypatch.setattr(lm_score, "write_shared", keep)
+        monkeypatch.setattr(lm_score, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(lm_score, "SLICE_CHARS", 20_000)
+        monkeypatch.setattr(lm_score, "PART_TOKENS", 2_000)
+        monkeypatch.setattr(lm_score, "ASK_GRAMS", 1_000)
+        got = sorted(map(tuple, lm_score.score(docs, labels).collect()))
+        assert len(got) == len(want) and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-9, rtol=0) for a, b in zip(got, want))
+        assert "Exchange" not in made["lm-slices plan"]
+        parts = {r.kind: r.n for r in made["lm-counts"].groupBy("kind").agg(F.countDistinct("part").alias("n")).collect()}
+        slices = made["lm-slices"].count()
+        assert slices > 20 and parts[lm_score.PAIR] > 20
+        assert made["lm-counts"].count() < slices * parts[lm_score.PAIR]  # twice as many before
+
+
+def test_lm_pieces_of_a_bundle_that_tasks_share(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 200").select("doc_id", "text").coalesce(1)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    want = sorted(map(tuple, lm_score.score(docs, labels).collect()))
+    plain = lm_score.marked
+    monkeypatch.setattr(lm_score, "SLICE_CHARS", 20_000)
+    monkeypatch.setattr(lm_score, "marked", lambda *x: plain(*x).repartitionByRange(5, "slice").sortWithinPartitions("slice"))
+    got = sorted(map(tuple, lm_score.score(docs, labels).collect()))
+    assert len(got) == len(want) and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-9, rtol=0) for a, b in zip(got, want))
