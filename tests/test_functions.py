@@ -161,3 +161,43 @@ def test_near_pairs_equal_brute_force(spark):
                 if round(s, 6) >= 0.8:
                     want[a, b] = round(s, 6)
     assert got == want and len(want) > 50
+
+
+def _near(rows, least, coarse):
+    """Pairs of the first rows of equal signatures, by comparing all of them."""
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    fnv = lambda xs: __import__("functools").reduce(lambda h, c: ((h ^ c) * 1099511628211) % 2**64, "|".join(sorted(xs)).encode(), 14695981039346656037)
+    first = {}
+    for i, c, n, p in rows:
+        first.setdefault((tuple(sorted(c)), tuple(sorted(n)), p), i)
+    out = {}
+    for (ca, na, pa), a in first.items():
+        for (cb, nb, pb), b in first.items():
+            if a < b and (not coarse or abs(pa - pb) <= 2 and abs(len(ca) - len(cb)) <= 3):
+                s = jac(ca, cb) * 0.45 + jac(na, nb) * 0.2 + (1 - (pa ^ pb).bit_count() / 64) * 0.2 + (1 - (fnv(na) ^ fnv(nb)).bit_count() / 64) * 0.15
+                if round(s, 6) >= least:
+                    out[a, b] = round(s, 6)
+    return out
+
+
+def test_near_pairs_of_any_size(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda: f"w{int(r.paretovariate(0.6)) % 4000}"
+    rows = [(0, [], [], 1), (1, [], [], 2), (2, [], ["A"], 1), (3, [], ["A", "B"], 1), (4, ["x"], ["A|B"], 1), (5, ["x"], ["A", "B"], 1), (6, ["x"], [], 1), (7, ["y"], [], 1)]
+    for i in range(8, 200):
+        if len(rows) > 20 and r.random() < 0.7:  # a copy without some of its calls, sometimes with another name
+            _, c, n, p = r.choice(rows)
+            c = [x for x in c if r.random() < r.choice([0.7, 0.95, 1])] + [word() for _ in range(r.randrange(3))]
+            n = n + ["N" + word()] if r.random() < 0.3 else n
+            rows.append((i, sorted(set(c)), sorted(set(n)), p if r.random() < 0.7 else r.randrange(8)))
+        else:
+            rows.append((i, sorted({word() for _ in range(r.choice([1, 3, 10, 60]))}), sorted({"N" + word() for _ in range(r.randrange(6))}), r.randrange(8)))
+    sigs = duplicates.signatures(spark.createDataFrame(rows, "doc_id long, calls array<string>, names array<string>, params long"))
+    for coarse, least in ((False, 0.8), (True, 0.8), (False, 0.9)):
+        got = {(x.a, x.b): x.similarity for x in duplicates.candidate_pairs(sigs, 64, least, coarse).collect()}
+        want = _near(rows, least, coarse)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)  # Python rounds halves to even
+    far = [k for k in _near(rows, 0.8, False) if k not in _near(rows, 0.8, True)]
+    assert len(far) > 20  # pairs that the coarse filter would leave out
