@@ -208,5 +208,5 @@ def e2(spark, d):
 
 @query("D7_cluster_summary", "select class_id, count(*) || ' copies, ' || case when count(*) > 3 then 'many' else 'few' end as summary from (select s.doc_id, r.doc_id as class_id from signatures s join (select calls, names, params, min(doc_id) as doc_id from signatures group by 1, 2, 3) r on r.calls = s.calls and r.names = s.names and r.params = s.params) group by 1 having count(*) > 1")
 def d7(spark, d):
-    c = duplicates.classes(Views(spark, d).signatures).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
+    c = duplicates.class_sizes(Views(spark, d).signatures).withColumnRenamed("copies", "n").where("n > 1")
     return c.select("class_id", F.concat(F.col("n").cast("string"), F.lit(" copies, "), F.when(F.col("n") > 3, "many").otherwise("few")).alias("summary"))
