@@ -25,11 +25,18 @@ def bm25_terms(text: Column) -> Column:
 
     Words are runs of letters and digits; pieces of fewer than two bytes and stop words go.
     """
-    words = F.filter(F.split(text, r"[^\p{L}\p{Nd}\p{Nl}\p{No}]+"), lambda w: w != "")
+    # each different word once, and those without an inner capital are not cut
+    words = F.array_except(F.split(text, r"[^\p{L}\p{Nd}\p{Nl}\p{No}]+"), F.array(F.lit("")))
     keep = lambda w: (F.octet_length(w) >= 2) & ~F.lower(w).isin(STOP_WORDS)
     pieces = lambda w: F.transform(F.filter(F.split(w, r"(?<=.)(?=\p{Lu})"), keep), lambda p: F.lower(p))
     whole = lambda w: F.filter(F.array(F.lower(w)), keep)
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(pieces(w), whole(w)))))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(w.rlike(r".\p{Lu}"), F.concat(pieces(w), whole(w))).otherwise(whole(w)))))
+
+
+def lower_terms(text: Column) -> Column:
+    """Search terms of a text in lower case, in order of first sight: its words of two bytes or more that are no stop words."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{Nd}\p{Nl}\p{No}]+")
+    return F.filter(F.array_except(words, F.array(*map(F.lit, ["", *STOP_WORDS]))), lambda w: F.octet_length(w) >= 2)
 
 
 def camel_snake(name: Column) -> Column:
@@ -59,18 +66,18 @@ def _plain_tokens(word: Column) -> Column:
 def word_tokens(word: Column) -> Column:
     """Estimated model tokens of one word."""
     parts = split_identifier(word)
+    cut = word.rlike(r"_|\p{Ll}\p{Lu}")  # most words have no part to look for
     known = word.isin(ONE_TOKEN) | F.lower(word).isin(ONE_TOKEN)
     summed = F.aggregate(parts, F.lit(0), lambda s, p: s + _plain_tokens(p))
-    return F.when(known | (F.size(parts) <= 1), _plain_tokens(word)).otherwise(summed)
+    return F.when(~cut | known | (F.size(parts) <= 1), _plain_tokens(word)).otherwise(summed)
 
 
 def count_tokens(text: Column) -> Column:
     """Estimated model tokens of a text: blank runs by fives, line ends, punctuation, words; at least 1."""
-    runs = F.regexp_extract_all(text, F.lit(r"[ \t]+|[\n\r{}\[\]():,;\"']|[^ \t\n\r{}\[\]():,;\"']+"), F.lit(0))
-    one = lambda r: (
-        F.when(r.rlike(r"^[ \t]"), F.floor((F.length(r) + 4) / 5).cast("int")).when(r.rlike(r"^[\n\r{}\[\]():,;\"']"), 1).otherwise(word_tokens(r))
-    )
-    return F.greatest(F.aggregate(runs, F.lit(0), lambda s, r: s + one(r)), F.lit(1)).cast("long")
+    # a run of n blanks has ceil(n / 5) matches of the first pattern
+    marks = F.regexp_count(text, F.lit(r"[ \t]{1,5}|[\n\r{}\[\]():,;\"']"))
+    words = F.array_remove(F.split(text, r"[ \t\n\r{}\[\]():,;\"']+"), "")
+    return F.greatest(F.aggregate(words, F.lit(0), lambda s, w: s + word_tokens(w)) + marks, F.lit(1)).cast("long")
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -274,7 +274,7 @@ def u3(spark, d):
 
 @query("U7_vocabularies", "with a as (select distinct term from terms join documents using (doc_id) where source = 'src1'), b as (select distinct term from terms join documents using (doc_id) where source = 'src2') select term, case when a.term is null then 'b' when b.term is null then 'a' else 'both' end as side from a full join b using (term)")
 def u7(spark, d):
-    t = Views(spark, d).table("documents").where("source in ('src1', 'src2')").select("source", F.explode(text.bm25_terms(F.lower("text"))).alias("term"))
+    t = Views(spark, d).table("documents").where("source in ('src1', 'src2')").select("source", F.explode(text.lower_terms(F.col("text"))).alias("term"))
     side = F.when(F.bool_and(F.col("source") == "src1"), "a").when(F.bool_and(F.col("source") == "src2"), "b").otherwise("both")
     return t.groupBy("term").agg(side.alias("side"))
 
