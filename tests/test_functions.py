@@ -258,3 +258,22 @@ def test_tokens_of_texts_in_one_pass(spark):
     counts = search.term_counts(spark.createDataFrame([("a b a",), ("b",), ("",)], "t string"), F.array_remove(F.split("t", " "), ""))
     assert sorted(map(tuple, counts.collect())) == [("a", 2, 1), ("b", 2, 2)]
     assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+
+
+def test_cycles_write_no_path_past_the_middle(spark):
+    import random
+    from itertools import permutations
+
+    r = random.Random(7)
+    e = sorted({(str(r.randrange(1, 14)), str(r.randrange(1, 14))) for _ in range(70)})
+    have, nodes = set(e), sorted({x for p in e for x in p})
+    want = sorted((">".join(c), n) for n in range(2, 6) for c in permutations(nodes, n) if c[0] == min(c) and all((a, b) in have for a, b in zip(c, c[1:] + c[:1], strict=True)))
+    asked = []
+    real = graph.F.concat
+    graph.F.concat = lambda *c: (asked.append(str(c)), real(*c))[1]
+    try:
+        got = graph.cycles(spark.createDataFrame(e, "caller string, callee string"), 5)
+    finally:
+        graph.F.concat = real
+    assert sorted(map(tuple, got.collect())) == want and {n for _, n in want} == {2, 3, 4, 5}
+    assert len([x for x in asked if "path" in x and "root" not in x]) == 1  # paths from the root grow once, to two steps
